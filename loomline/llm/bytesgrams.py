@@ -79,12 +79,13 @@ def chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, n
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACE, lower: bool = True) -> Words:
-    """Maximal runs of bytes that are not in ends; no run crosses a text's border."""
+def words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACE, lower: bool = True, prefixes: tuple[int, ...] = ()) -> Words | tuple[Words, list[np.ndarray]]:
+    """Maximal runs of bytes that are not in ends; no run crosses a text's border. With prefixes, also the hashes of the words cut to so many bytes."""
     none = np.zeros(0, np.int64)
     inside = np.flatnonzero(~ends[data])
     if not len(inside):
-        return Words(np.zeros(0, np.uint64), none, none, none)
+        nothing = Words(np.zeros(0, np.uint64), none, none, none)
+        return (nothing, [nothing.hash for _ in prefixes]) if prefixes else nothing
     first = np.empty(len(inside), bool)
     first[0] = True
     np.not_equal(np.diff(inside), 1, out=first[1:])
@@ -97,7 +98,8 @@ def words(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACE, lower
     place = np.arange(len(inside)) - np.repeat(at, length)
     value = BYTE_VALUE[LOWER[data[inside]] if lower else data[inside]]
     value *= powers(int(length.max()))[place]
-    return Words(mix(np.add.reduceat(value, at)), np.searchsorted(offsets, start, "right") - 1, start, length)
+    found = Words(mix(np.add.reduceat(value, at)), np.searchsorted(offsets, start, "right") - 1, start, length)
+    return (found, [mix(np.add.reduceat(np.where(place < k, value, 0), at)) for k in prefixes]) if prefixes else found
 
 
 #: Odd multipliers of the places in a shingle.

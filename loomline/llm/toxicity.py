@@ -17,14 +17,21 @@ from pyspark.sql import functions as F
 from . import bytesgrams as bg
 from .labelled import SAMPLE_ROWS, held_out, sample
 
-#: Hashed terms; factors of each; learned rows that must hold a term.
-TERMS, FACTORS, LEAST_ROWS = 1 << 18, 6, 8
+#: Hashed terms; factors of each; learned rows that must hold a term; terms kept at most, and their least chi-square against the label (one in a million by chance).
+TERMS, FACTORS, LEAST_ROWS, MOST_TERMS, LEAST_CHI = 1 << 20, 6, 4, 4096, 22.0
+#: Bytes of the word beginnings that are terms of their own, so that inflected forms share one.
+PREFIXES = (4, 5, 6)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hashed term) of every word, of letters and digits, lower case for A-Z."""
-    w = bg.words(data, offsets, bg.NO_TERM)
-    return w.doc, (w.hash >> np.uint64(64 - 18)).astype(np.int64)
+    """(text, hashed term) of every word of letters and digits, lower case for A-Z, and of its beginnings."""
+    w, cut = bg.words(data, offsets, bg.NO_TERM, prefixes=PREFIXES)
+    doc, hashes = [w.doc], [w.hash]
+    for k, h in zip(PREFIXES, cut, strict=True):
+        longer = w.length > k
+        doc.append(w.doc[longer])
+        hashes.append(bg.mix(h[longer] + np.uint64(k)))
+    return np.concatenate(doc), (np.concatenate(hashes) >> np.uint64(64 - 20)).astype(np.int64)
 
 
 def distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +62,20 @@ def forward(doc: np.ndarray, at: np.ndarray, n: int, w0: float, w: np.ndarray, v
     return w0 + np.bincount(doc, weights=w[at], minlength=n) + 0.5 * damp * ((sums**2).sum(1) - own), sums, damp
 
 
-def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.02, decay: float = 2e-5, seed: int = 5) -> Machine:
+def telling(rows: np.ndarray, of_label: np.ndarray, n: int, n_label: float) -> np.ndarray:
+    """The terms in enough rows with the largest chi-square against the label, in order of their hashes."""
+    expected = rows * n_label / max(n, 1)
+    spread = expected * (1 - n_label / max(n, 1)) * (1 - rows / max(n + 1, 1))
+    chi = np.where(rows >= LEAST_ROWS, (of_label - expected) ** 2 / np.maximum(spread, 1e-9), -1.0)
+    best = np.argsort(-chi, kind="stable")[:MOST_TERMS]
+    return np.sort(best[chi[best] >= LEAST_CHI])
+
+
+def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.02, decay: float = 2e-4, seed: int = 5) -> Machine:
     """Adam on the log loss. doc (0 to len(y) - 1, in order) and term are the distinct terms of each learned text."""
     rows = np.bincount(term, minlength=TERMS)
-    used = np.flatnonzero(rows >= LEAST_ROWS)
+    of_label = np.bincount(term, weights=y[doc], minlength=TERMS)
+    used = telling(rows, of_label, len(y), float(y.sum()))
     place = np.full(TERMS, -1, np.int32)
     place[used] = np.arange(len(used))
     if len(set(y.tolist())) < 2:
