@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, quality, tokens, toxicity
+from . import decontaminate, exact, mixing, quality, tokens, toxicity
 from .common import new_path, table
 
 
@@ -21,6 +21,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_token_counts, op3_quality_classifier, op7_toxicity, op8_mix_sources, op10_exact_dedup)
+_QUERIES = (op1_token_counts, op3_quality_classifier, op4_decontaminate, op7_toxicity, op8_mix_sources, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact.ORACLE}
+    return {"op4_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact.ORACLE}
