@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, ngram_join, quality, tokens, toxicity
+from . import decontaminate, exact, mixing, ngram_join, quality, repeats, tokens, toxicity
 from .common import new_path, table
 
 
@@ -37,11 +37,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_token_counts, op3_quality_classifier, op4_decontaminate, op6_ngram_join, op7_toxicity, op8_mix_sources, op10_exact_dedup)
+_QUERIES = (op1_token_counts, op3_quality_classifier, op4_decontaminate, op6_ngram_join, op7_toxicity, op8_mix_sources, op9_repeat_dedup, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
