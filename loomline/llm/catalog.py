@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, ngram_join, quality, repeats, tokens, toxicity
+from . import decontaminate, exact, mixing, ngram_join, quality, repeats, tokens, toxicity, warc
 from .common import new_path, table
 
 
@@ -25,6 +25,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_token_counts, op3_quality_classifier, op4_decontaminate, op6_ngram_join, op7_toxicity, op8_mix_sources, op9_repeat_dedup, op10_exact_dedup)
+_QUERIES = (op1_token_counts, op3_quality_classifier, op4_decontaminate, op5_warc_convert, op6_ngram_join, op7_toxicity, op8_mix_sources, op9_repeat_dedup, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -53,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact.ORACLE}
+    return {"op4_decontaminate": decontaminate.ORACLE, "op5_warc_convert": warc.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact.ORACLE}
