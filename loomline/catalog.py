@@ -5,11 +5,567 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import paths
+from .functions.textsim import longer_words, similarity
+from .operators import bugs, churn, contributors, diffs, graph, health, modules, review, rules, search
+from .plans import fixtures as fx
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+AT = F.lit
+Q = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Q] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Q], Q]:
+    def add(f: Q) -> Q:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def as_of():
+    return F.lit(fx.AS_OF).cast("timestamp")
+
+
+def _stamp(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def _joined(c: str):
+    return F.array_join(c, ",").alias(c)
+
+
+_STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') as {0}"
+_CHANGED = f"""with changed as (
+  select c.repo, path, author, ts, insertions, deletions from commits c join file_changes f using (repo, hash)
+  where not is_merge and not "binary" and ts >= (timestamp '{fx.AS_OF}')::date - 365 and ts <= timestamp '{fx.AS_OF}'),
+files as (
+  select repo, path, count(*) as change_count, sum(insertions)::bigint as insertions, sum(deletions)::bigint as deletions, list_sort(list_distinct(list(author))) as authors, max(ts) as last_changed,
+    floor(count(*) / 365.0::double * 100 + 0.5) / 100 as churn_rate
+  from changed group by repo, path having count(*) >= 3),
+thresholds as (select repo, list_sort(list(churn_rate))[floor(count(*) * 0.8)::int + 1] as threshold from files group by repo),
+churn as (select f.*, insertions - deletions as net_change, churn_rate >= coalesce(threshold, 0) as is_hotspot from files f join thresholds using (repo))"""
+_HOT = ", hot as (select * from (select *, row_number() over (partition by repo order by change_count desc, path) as rank from churn where is_hotspot) where rank <= 20)"
+
+
+def _churn(spark: SparkSession, sf: str) -> DataFrame:
+    return churn.file_churn(fx.commits(spark, sf), fx.file_changes(spark, sf), as_of(), 365)
+
+
+@_query(fx.with_sql("commits file_changes", _CHANGED + f" select repo, path, change_count, insertions, deletions, array_to_string(authors, ',') as authors, {_STAMP.format('last_changed')}, net_change, churn_rate, is_hotspot from churn"))
+def code_churn(spark, sf):
+    return _churn(spark, sf).select("repo", "path", "change_count", "insertions", "deletions", _joined("authors"), _stamp("last_changed"), "net_change", "churn_rate", "is_hotspot")
+
+
+@_query(fx.with_sql("commits file_changes", _CHANGED + f""" select repo, strftime((timestamp '{fx.AS_OF}')::date - 365, '%Y-%m-%d') as period_start, '{fx.AS_OF[:10]}' as period_end, 365 as days, count(*) as total_files, sum(change_count)::bigint as total_changes,
+  count(*) filter (is_hotspot) as hotspot_count, floor(avg(churn_rate) * 100 + 0.5) / 100 as average_churn_rate,
+  concat_ws('|', case when count(*) filter (is_hotspot) > count(*) * 0.2 then 'High number of hotspots detected. Consider refactoring frequently changing modules.' end,
+    case when count(*) filter (is_hotspot and len(authors) > 3) > 0 then (count(*) filter (is_hotspot and len(authors) > 3))::varchar || ' hotspots have many authors. Consider establishing clear ownership.' end) as recommendations
+  from churn group by repo"""))
+def churn_summary(spark, sf):
+    return churn.churn_summary(_churn(spark, sf), as_of(), 365).withColumn("days", F.col("days").cast("int")).withColumn("recommendations", F.array_join("recommendations", "|"))
+
+
+@_query(fx.with_sql("commits file_changes", _CHANGED + _HOT + " select repo, path, change_count, rank from hot"))
+def churn_hotspots(spark, sf):
+    return churn.top_hotspots(_churn(spark, sf)).select("repo", "path", "change_count", "rank")
+
+
+@_query(fx.with_sql("commits file_changes", _CHANGED + _HOT + """ select repo, directory, sum(change_count)::bigint as total_changes, count(*) as file_count, array_to_string((list(path order by change_count desc, path))[1:5], ',') as top_files
+  from (select *, regexp_replace(path, '/[^/]*$', '') as directory from hot) group by repo, directory"""))
+def directory_churn(spark, sf):
+    return churn.directory_churn(_churn(spark, sf)).withColumn("top_files", F.array_join("top_files", ","))
+
+
+_FILE = "src/services/m1/f1.js"
+
+
+@_query(fx.with_sql("commits file_changes", f"""select repo, count(distinct hash) as commits, sum(insertions)::bigint as insertions, sum(deletions)::bigint as deletions, count(distinct author) as unique_authors,
+  floor(sum(insertions + deletions)::double / count(distinct hash) + 0.5)::bigint as average_change_size from commits join file_changes using (repo, hash)
+  where path = '{_FILE}' and ts >= (timestamp '{fx.AS_OF}')::date - 3000 and ts <= timestamp '{fx.AS_OF}' group by repo"""))
+def file_churn_history(spark, sf):
+    return churn.file_history(fx.commits(spark, sf), fx.file_changes(spark, sf), _FILE, as_of(), 3000)
+
+
+_SIZED = """with sized as (
+  select c.*, coalesce(i, 0)::bigint as insertions, coalesce(d, 0)::bigint as deletions, coalesce(n, 0)::bigint as files from commits c left join (
+    select repo, hash, sum(case when "binary" then 0 else insertions end) as i, sum(case when "binary" then 0 else deletions end) as d, count(*) as n from file_changes group by repo, hash) s using (repo, hash) where not is_merge)"""
+_STREAKS = """, days as (select distinct repo, author, ts::date as day from sized),
+islands as (select repo, author, day - (row_number() over (partition by repo, author order by day))::int as island, day from days),
+runs as (select repo, author, count(*) as run, max(day) as until from islands group by repo, author, island),
+streaks as (select repo, author, max(run) as longest_streak, arg_max(run, until) as last_run, max(until) as until from runs group by repo, author)"""
+
+
+def _stats(spark: SparkSession, sf: str) -> DataFrame:
+    return contributors.contributor_stats(fx.commits(spark, sf), fx.file_changes(spark, sf), as_of())
+
+
+@_query(fx.with_sql("commits file_changes", _SIZED + _STREAKS + f""", paths as (select c.repo, author, count(distinct path) as files_changed from commits c join file_changes using (repo, hash) where not is_merge group by c.repo, author)
+  select repo, author, any_value(author_email) as email, count(*) as commit_count, sum(insertions)::bigint as insertions, sum(deletions)::bigint as deletions, count(distinct ts::date) as active_days,
+  strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_commit, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_commit, coalesce(any_value(files_changed), 0) as files_changed, floor((sum(insertions) + sum(deletions))::double / count(*) + 0.5)::bigint as average_commit_size,
+  any_value(longest_streak) as longest_streak, case when date_diff('day', any_value(until)::timestamp, timestamp '{fx.AS_OF}') <= 1 then any_value(last_run) else 0 end as current_streak
+  from sized join streaks using (repo, author) left join paths using (repo, author) group by repo, author"""))
+def contributor_stats(spark, sf):
+    return _stats(spark, sf).select("repo", "author", "email", "commit_count", "insertions", "deletions", "active_days", _stamp("first_commit"), _stamp("last_commit"), "files_changed", "average_commit_size", "longest_streak", "current_streak")
+
+
+@_query(fx.with_sql("commits file_changes", """select repo, author, path, changes, rank from (select *, row_number() over (partition by repo, author order by changes desc, path) as rank from (
+  select repo, author, path, count(*) as changes from commits join file_changes using (repo, hash) group by repo, author, path)) where rank <= 10"""))
+def contributor_top_files(spark, sf):
+    return contributors.top_files(fx.commits(spark, sf), fx.file_changes(spark, sf))
+
+
+@_query(fx.with_sql("commits file_changes", _SIZED + " select repo, count(*) as total_commits, count(distinct author) as total_contributors, sum(insertions)::bigint as total_insertions, sum(deletions)::bigint as total_deletions, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_commit, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_commit from sized group by repo"))
+def contributor_summary(spark, sf):
+    return contributors.contributor_summary(fx.commits(spark, sf), fx.file_changes(spark, sf)).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_commit", "last_commit")})
+
+
+def _timeline(by: str, key: str):
+    sql = fx.with_sql("commits file_changes", _SIZED + f" select repo, {key} as period, count(*) as commits, array_to_string(list_sort(list_distinct(list(author))), ',') as authors, sum(insertions)::bigint as insertions, sum(deletions)::bigint as deletions, sum(files)::bigint as files_changed from sized group by repo, period")
+
+    def run(spark, sf):
+        return contributors.timeline(fx.commits(spark, sf), fx.file_changes(spark, sf), by).withColumn("authors", F.array_join("authors", ","))
+
+    run.__name__ = f"timeline_{by}"
+    _query(sql)(run)
+
+
+_timeline("day", "strftime(ts, '%Y-%m-%d')")
+_timeline("week", "strftime(ts::date - dayofweek(ts)::int, '%Y-%m-%d')")
+_timeline("month", "strftime(ts, '%Y-%m')")
+
+_EVENT_DAYS = _STREAKS.replace(", days as", "with days as", 1).replace("from sized", "from activity")
+
+
+@_query(fx.with_sql("activity", _EVENT_DAYS + " select repo, author, case when date_diff('day', until::timestamp, timestamp '2024-01-30') <= 1 then last_run else 0 end as current_streak, longest_streak from streaks"))
+def activity_streaks(spark, sf):
+    return contributors.streaks(fx.activity(spark, sf).withColumn("day", F.to_date("ts")), F.lit("2024-01-30 00:00:00").cast("timestamp"))
+
+
+_CELLS = """with counts as (select repo, dayofweek(ts)::int as day, hour(ts)::int as hour, count(*) as n from activity group by all),
+cells as (select repo, day, hour, coalesce(n, 0) as "count" from (select distinct repo from activity) a cross join (select unnest(range(7))::int as day) d cross join (select unnest(range(24))::int as hour) h left join counts using (repo, day, hour))"""
+
+
+@_query(fx.with_sql("activity", _CELLS + ' select repo, day, hour, "count" from cells'))
+def heatmap(spark, sf):
+    return contributors.heatmap(fx.activity(spark, sf))
+
+
+@_query(fx.with_sql("activity", _CELLS + ' select repo, day as peak_day, hour as peak_hour, "count" as peak_count from (select *, row_number() over (partition by repo order by "count" desc, day, hour) as r from cells) where r = 1'))
+def heatmap_peak(spark, sf):
+    return contributors.peak(contributors.heatmap(fx.activity(spark, sf)))
+
+
+_TOP = "select repo, author, list(path) as paths from (select *, row_number() over (partition by repo, author order by changes desc, path) as rank from (select repo, author, path, count(*) as changes from commits join file_changes using (repo, hash) group by repo, author, path)) where rank <= 10 group by repo, author"
+
+
+def _one(needle: str, tag: str) -> str:
+    return f"""select repo, author as author_{tag}, n as commits_{tag}, coalesce(paths, []) as p{tag} from (select *, row_number() over (partition by repo order by n desc, author) as r from (
+      select repo, author, count(*) as n from commits where not is_merge and (contains(author, '{needle}') or contains(author_email, '{needle}')) group by repo, author)) left join ({_TOP}) using (repo, author) where r = 1"""
+
+
+@_query(fx.with_sql("commits file_changes", f"""select repo, author_1, commits_1, author_2, commits_2, array_to_string(list_sort(list_intersect(p1, p2)), ',') as shared_files,
+  case when len(list_distinct(list_concat(p1, p2))) = 0 then 0 else floor(len(list_intersect(p1, p2)) * 100 / len(list_distinct(list_concat(p1, p2)))::double + 0.5) end::bigint as overlap_percent
+  from ({_one('a1', '1')}) join ({_one('a2', '2')}) using (repo)"""))
+def compare_contributors(spark, sf):
+    files = contributors.top_files(fx.commits(spark, sf), fx.file_changes(spark, sf))
+    return contributors.compare_contributors(_stats(spark, sf), files, "a1", "a2").withColumn("shared_files", F.array_join("shared_files", ","))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda x: len(x) > 2))"
+_JACCARD = "case when len({0}) = 0 or len({1}) = 0 then 0.0::double else len(list_intersect({0}, {1}))::double / len(list_distinct(list_concat({0}, {1}))) end"
+_SEARCH = "the and oren thin"
+
+
+@_query(fx.with_sql("messages", f"""with w as (select *, {_WORDS.format("'" + _SEARCH + "'")} as q, {_WORDS.format('message')} as m, {_WORDS.format('body')} as b, lower(message || ' ' || body) as t from messages where contains(lower(message || chr(10) || body), 'the')),
+  s as (select *, floor((({_JACCARD.format('q', 'm')}) * 0.7::double + ({_JACCARD.format('q', 'b')}) * 0.3::double) * 100 + 0.5)::int as score from w)
+  select repo, hash, author, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, message, greatest(score, 10) as relevance from s where score > 0 or contains(t, 'the') or contains(t, 'and') or contains(t, 'oren') or contains(t, 'thin')
+  order by relevance desc, s.ts desc, repo, hash limit 50"""))
+def search_commits(spark, sf):
+    found = search.search_commits(fx.messages(spark, sf), fx.file_changes(spark, sf).limit(0), _SEARCH)
+    return found.select("repo", "hash", "author", _stamp("ts"), "message", "relevance")
+
+
+@_query(fx.with_sql("messages", f"select hash, {_JACCARD.format(_WORDS.format('message'), _WORDS.format('body'))} as similarity from messages"))
+def text_similarity(spark, sf):
+    return fx.messages(spark, sf).select("hash", similarity(longer_words(F.col("message")), longer_words(F.col("body"))).alias("similarity"))
+
+
+@_query(fx.with_sql("commits file_changes", "select repo, hash, author, message, array_to_string(list_sort(list(path)), ',') as files, sum(insertions)::bigint as insertions, sum(deletions)::bigint as deletions from commits join file_changes using (repo, hash) where repo = 'r1' and hash = '7' group by all"))
+def commit_details(spark, sf):
+    return search.commit_details(fx.commits(spark, sf), fx.file_changes(spark, sf), "r1", "7").select("repo", "hash", "author", "message", _joined("files"), "insertions", "deletions")
+
+
+@_query(fx.with_sql("commits file_changes", f"select repo, hash, author, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, message, 1 as files_changed from commits semi join (select repo, hash from file_changes where path = '{_FILE}') using (repo, hash) order by commits.ts desc, repo, hash limit 50"))
+def commits_for_file(spark, sf):
+    return search.commits_for_file(fx.commits(spark, sf), fx.file_changes(spark, sf), _FILE).select("repo", "hash", "author", _stamp("ts"), "message", "files_changed")
+
+
+def _health(spark: SparkSession, sf: str) -> DataFrame:
+    return health.health_metrics(fx.commits(spark, sf), fx.file_changes(spark, sf), fx.branches(spark, sf), fx.repo_files(spark, sf), as_of())
+
+
+def _band_sql(v: str, b: health.Band) -> str:
+    e, g, f, p = (f"{x}::double" for x in b[:4])
+    if b.higher:
+        raw = f"case when {v} >= {e} then 90 + ({v} - {e}) / {e} * 10 when {v} >= {g} then 70 + ({v} - {g}) / ({e} - {g}) * 20 when {v} >= {f} then 50 + ({v} - {f}) / ({g} - {f}) * 20 when {v} >= {p} then 25 + ({v} - {p}) / ({f} - {p}) * 25 else greatest(0, {v} / {p} * 25) end"
+    else:
+        raw = f"case when {v} <= {e} then 90 + ({e} - {v}) / {e} * 10 when {v} <= {g} then 70 + ({g} - {v}) / ({g} - {e}) * 20 when {v} <= {f} then 50 + ({f} - {v}) / ({f} - {g}) * 20 when {v} <= {p} then 25 + ({p} - {v}) / ({p} - {f}) * 25 else greatest(0, 25 - ({v} - {p}) / {p} * 25) end"
+    return f"least(100, greatest(0, floor({raw} + 0.5)))::int"
+
+
+def _status_sql(v: str, b: health.Band) -> str:
+    op = ">=" if b.higher else "<="
+    return "case " + " ".join(f"when {v} {op} {getattr(b, n)} then '{n}'" for n in ("excellent", "good", "fair", "poor")) + " else 'critical' end"
+
+
+_DOCS_SQL = " or ".join(f"regexp_matches(path, '{p}')" for p in paths.DOCS)
+_RECENT = f"ts >= (timestamp '{fx.AS_OF}')::date - 30 and ts <= timestamp '{fx.AS_OF}'"
+_VALUES = f"""with repos as (select distinct repo from (select repo from commits union all select repo from branches union all select repo from repo_files)),
+recent as (select * from commits where {_RECENT}),
+churned as (select repo, floor(count(*) / 30.0::double * 100 + 0.5) / 100 as rate from commits join file_changes using (repo, hash) where not is_merge and not "binary" and {_RECENT} group by repo, path),
+vals as (
+  select repo, 'commitFrequency' as metric, floor(coalesce(n, 0) / 30.0::double * 7 * 10 + 0.5) / 10 as v from repos left join (select repo, count(*) as n from recent group by repo) using (repo)
+  union all select repo, 'averageCommitSize', s::double from repos left join (select repo, sum(case when "binary" or "binary" is null then 0 else insertions + deletions end) as s from recent left join file_changes using (repo, hash) where not is_merge group by repo) using (repo)
+  union all select repo, 'documentationRatio', coalesce(r, 0)::double from repos left join (select repo, case when count(*) filter (regexp_matches(path, '{paths.CODE}')) > 0 then floor((count(*) filter ({_DOCS_SQL}))::double / count(*) filter (regexp_matches(path, '{paths.CODE}')) * 100 + 0.5) else 0 end as r from repo_files group by repo) using (repo)
+  union all select repo, 'codeChurnRate', coalesce(m, 0)::double from repos left join (select repo, floor(avg(rate) * 100 + 0.5) / 100 * 7 as m from churned group by repo) using (repo)
+  union all select repo, 'contributorActivity', coalesce(a, 0)::double from repos left join (select repo, count(distinct author) as a from recent group by repo) using (repo)
+  union all select repo, 'branchHealth', coalesce(b, 0)::double from repos left join (select repo, (count(*) filter (epoch(timestamp '{fx.AS_OF}') - epoch(ts) >= 31 * 86400))::double / count(*) * 100 as b from branches group by repo) using (repo)),
+metrics as (select repo, metric, v as raw_value, case when v is null then 50 {' '.join(f"when metric = '{m}' then {_band_sql('v', b)}" for m, b in health.BANDS.items())} end as score,
+  case {' '.join(f"when metric = '{m}' then {b.weight}::double" for m, b in health.BANDS.items())} end as weight, case when v is null then 'fair' {' '.join(f"when metric = '{m}' then {_status_sql('v', b)}" for m, b in health.BANDS.items())} end as status from vals),
+overall as (select repo, floor(sum(score * weight) / sum(weight) + 0.5)::int as score from metrics group by repo)"""
+_GRADE = "case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end"
+
+
+@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + " select repo, metric, raw_value, score, weight, status from metrics"))
+def health_metrics(spark, sf):
+    return _health(spark, sf).select("repo", "metric", "raw_value", "score", "weight", "status")
+
+
+@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + f" select repo, score, {_GRADE} as grade from overall"))
+def health_overall(spark, sf):
+    return health.overall(_health(spark, sf)).select("repo", "score", "grade")
+
+
+@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + " select metric, a.score as score_1, b.score as score_2, case when a.score > b.score then 'r0' when b.score > a.score then 'r1' else 'tie' end as winner from (select * from metrics where repo = 'r0') a join (select * from metrics where repo = 'r1') b using (metric)"))
+def health_compare(spark, sf):
+    return health.compare_health(_health(spark, sf), "r0", "r1")
+
+
+_PRIORITY = "case metric when 'commitFrequency' then 'high' when 'codeChurnRate' then 'high' when 'averageCommitSize' then 'medium' when 'documentationRatio' then 'medium' else 'low' end"
+
+
+@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + f" select repo, {_PRIORITY} as priority, count(*) as n from metrics where status in ('poor', 'critical') group by all"))
+def health_recommendations(spark, sf):
+    return health.health_recommendations(_health(spark, sf)).groupBy("repo", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def health_trend(spark, sf):
+    return health.health_trend(fx.commits(spark, sf), fx.file_changes(spark, sf), fx.branches(spark, sf), fx.repo_files(spark, sf), ["2001-07-18 00:00:00", "2001-07-25 00:00:00", fx.AS_OF])
+
+
+@_query(fx.with_sql("commits branches repo_files", """select repo, total_commits, total_contributors, strftime(created, '%Y-%m-%d %H:%M:%S') as created, strftime(last_commit, '%Y-%m-%d %H:%M:%S') as last_commit, coalesce(total_branches, 0) as total_branches, coalesce(total_files, 0) as total_files from (
+  select repo, count(*) as total_commits, count(distinct author) as total_contributors, min(ts) as created, max(ts) as last_commit from commits group by repo) left join (select repo, count(*) as total_branches from branches group by repo) using (repo) left join (select repo, count(*) as total_files from repo_files group by repo) using (repo)"""))
+def repository_info(spark, sf):
+    return health.repository_info(fx.commits(spark, sf), fx.branches(spark, sf), fx.repo_files(spark, sf)).drop("reported_created").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("created", "last_commit")})
+
+
+@_query(fx.with_sql("diff_lines", "select pr_id, file_ix, hunk::int as hunk, pos::int as pos, type, case when plus then null else o end::int as old_line, case when minus then null else n end::int as new_line, content from diff_lines where body"))
+def diff_lines(spark, sf):
+    return diffs.diff_lines(fx.pr_files(spark, sf), review.KEYS).select("pr_id", "file_ix", "hunk", "pos", "type", "old_line", "new_line", "content")
+
+
+@_query(fx.with_sql("diff_lines", """with h as (select pr_id, avg(size) as average_hunk_size from (select pr_id, filename, hunk, count(*) as size from diff_lines where body group by all) group by pr_id)
+  select pr_id, count(*) as files_changed, sum(additions)::bigint as additions, sum(deletions)::bigint as deletions, sum(additions)::double / greatest(sum(additions) + sum(deletions), 1) as added_ratio, sum(deletions)::double / greatest(sum(additions) + sum(deletions), 1) as deleted_ratio,
+  least(sum(additions), sum(deletions))::double / greatest(sum(additions), sum(deletions), 1) as churn_ratio, any_value(average_hunk_size) as average_hunk_size, arg_max(filename, (additions + deletions, -file_ix)) as largest_file from pr_files join h using (pr_id) group by pr_id"""))
+def diff_stats(spark, sf):
+    files = fx.pr_files(spark, sf)
+    return diffs.diff_stats(files, diffs.diff_lines(files, review.KEYS))
+
+
+@_query(fx.with_sql("diff_lines", """with k as (select pr_id, file_ix, hunk, pos, n, content from diff_lines where body and type <> 'del')
+  select pr_id, file_ix, hunk::int as hunk, n::int as line, content, coalesce(array_to_string(list(content) over (partition by pr_id, file_ix, hunk order by pos rows between 3 preceding and 1 preceding), '|'), '') as before,
+  coalesce(array_to_string(list(content) over (partition by pr_id, file_ix, hunk order by pos rows between 1 following and 3 following), '|'), '') as after from k"""))
+def line_context(spark, sf):
+    lines = diffs.diff_lines(fx.pr_files(spark, sf), review.KEYS)
+    return diffs.line_context(lines, review.KEYS).select("pr_id", "file_ix", "hunk", "line", "content", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
+
+
+# The patterns with a look-ahead, said without one.
+_PLAIN = {
+    r"http:\/\/(?!localhost|127\.0\.0\.1)": lambda c: f"regexp_matches(regexp_replace({c}, '(?i)http://(localhost|127\\.0\\.0\\.1)', '', 'g'), '(?i)http://')",
+    r"==\s*null(?!\s*\|)|null\s*==": lambda c: f"regexp_matches(regexp_replace({c}, '(?i)==\\s*null\\s*\\|', '', 'g'), '(?i)==\\s*null') or regexp_matches({c}, '(?i)null\\s*==')",
+    r"\bawait\b(?!.*\b(async|Promise|then)\b)": lambda c: f"regexp_matches({c}, '(?i)\\bawait\\b') and not regexp_matches({c}, '(?i)\\bawait\\b.*\\b(async|Promise|then)\\b')",
+    r"parseInt\s*\([^,)]+\)(?!\s*,)": lambda c: f"regexp_matches({c}, '(?i)parseInt\\s*\\([^,)]+\\)(\\s*[^,\\s]|\\s*$)')",
+}
+
+
+def _fits_sql(c: str, pattern: str) -> str:
+    if pattern in _PLAIN:
+        return f"({_PLAIN[pattern](c)})"
+    return "regexp_matches({}, '(?i){}')".format(c, pattern.replace("'", "''").replace(r"\/", "/"))
+
+
+def _str(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_ISSUES = "with rules as (select pr_id, file_ix, filename, pos, n as line, unnest(list_filter([" + ", ".join(
+    f"case when {_fits_sql('content', r.pattern)} then {{'c': {_str(c)}, 'ci': {ci}, 'ri': {k}, 'title': {_str(r.title)}, 'severity': {_str(r.severity)}, 'suggestion': {_str(rules.ADVICE[c].get(r.title, rules.DEFAULT_ADVICE))}}} end"
+    for ci, (c, rs) in enumerate(rules.ISSUE_RULES.items()) for k, r in enumerate(rs)
+) + """], lambda x: x is not null)) as x from diff_lines where body and plus),
+issues as (select pr_id, 'issue-' || (row_number() over (partition by pr_id order by file_ix, pos, x.ci, x.ri))::varchar as issue_id, filename, line, x.c as category, x.severity as severity, x.title as title, x.suggestion as suggestion from rules)"""
+
+
+@_query(fx.with_sql("diff_lines", _ISSUES + " select pr_id, issue_id, filename, line::int as line, category, severity, title, suggestion from issues"))
+def pr_issues(spark, sf):
+    return review.pr_issues(fx.pr_files(spark, sf)).select("pr_id", "issue_id", "filename", "line", "category", "severity", "title", "suggestion")
+
+
+@_query(fx.with_sql("diff_lines", _ISSUES + """ select pr_id, issue_id, filename, line::int as line, suggestion as reason, case category when 'security' then 'security-fix' when 'performance' then 'optimization' when 'bug' then 'refactor' else 'best-practice' end as type,
+  case when severity = 'critical' then 'high' else 'medium' end as confidence from issues where severity in ('critical', 'high')"""))
+def issue_suggestions(spark, sf):
+    return review.issue_suggestions(review.pr_issues(fx.pr_files(spark, sf)))
+
+
+_SENSITIVE = r"regexp_matches(filename, '(?i)\.(env|pem|key|secret|credential|password|auth)') or regexp_matches(filename, '(?i)(config|secret|credential|password|auth)')"
+_CONFIG = r"regexp_matches(filename, '(?i)\.(json|yaml|yml|toml|ini|conf)$') or regexp_matches(filename, '(?i)package\.json|tsconfig|webpack|babel|eslint')"
+
+
+@_query(fx.with_sql("diff_lines", _ISSUES + f""", c as (select pr_id, count(*) filter (severity = 'critical') as c, count(*) filter (severity = 'high') as h from issues group by pr_id),
+  f as (select pr_id, sum(additions + deletions)::bigint as t, count(*) as n, count(*) filter ({_SENSITIVE}) as s, count(*) filter ({_CONFIG}) as g from pr_files group by pr_id),
+  r as (select *, coalesce(c, 0) * 10 + coalesce(h, 0) * 5 + case when t > 1000 then 3 when t > 500 then 2 else 0 end + case when n > 20 then 3 when n > 10 then 1 else 0 end + case when s > 0 then 5 else 0 end + case when g > 0 then 1 else 0 end as risk_score from f left join c using (pr_id))
+  select pr_id, t as total_changes, n as files_changed, risk_score::bigint as risk_score, case when risk_score >= 15 then 'critical' when risk_score >= 8 then 'high' when risk_score >= 3 then 'medium' else 'low' end as risk_level from r"""))
+def pr_risk(spark, sf):
+    files = fx.pr_files(spark, sf)
+    return review.pr_risk(files, review.pr_issues(files)).drop("risk_factors")
+
+
+_REVIEW = "with hits as (select pr_id, file_ix, filename, n as line, unnest(list_filter([" + ", ".join(
+    "case " + " ".join(f"when {_fits_sql('content', r.pattern)} then {{'c': {_str(c)}, 'severity': {_str(r.severity)}, 'title': {_str(r.title)}}}" for r in rs) + " end" for c, rs in rules.REVIEW_RULES.items()
+) + r"""], lambda x: x is not null)) as x from diff_lines where body and plus),
+suggestions as (
+  select pr_id, filename, line::bigint as line, x.c as category, x.severity as severity, x.title as title from hits
+  union all select pr_id, filename, null, 'maintainability', 'medium', 'Large number of additions' from pr_files where additions > 500
+  union all select pr_id, filename, null, 'maintainability', 'low', 'Consider adding tests' from pr_files where additions > 50 and regexp_matches(filename, '(?i)\.(ts|js|tsx|jsx)$') and not regexp_matches(filename, '(?i)\.(test|spec)\.(ts|js|tsx|jsx)$'))"""
+
+
+@_query(fx.with_sql("diff_lines", _REVIEW + " select pr_id, filename, line, category, severity, title from suggestions"))
+def review_suggestions(spark, sf):
+    return review.review_suggestions(fx.pr_files(spark, sf)).select("pr_id", "filename", "line", "category", "severity", "title")
+
+
+@_query(fx.with_sql("diff_lines", _REVIEW + """, s as (select pr_id, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low from suggestions group by pr_id),
+  p as (select pr_id, sum(additions + deletions) as t, count(*) as n from pr_files group by pr_id),
+  q as (select pr_id, coalesce(critical, 0) as critical, coalesce(high, 0) as high, coalesce(medium, 0) as medium, coalesce(low, 0) as low, t, n from p left join s using (pr_id)),
+  z as (select *, greatest(0, least(100, 100 - 15 * critical - 8 * high - 3 * medium - low - case when t > 1000 then 10 when t > 500 then 5 else 0 end - case when n > 20 then 10 when n > 10 then 5 else 0 end))::bigint as quality_score from q)
+  select pr_id, quality_score, critical, high, medium, low, case when critical > 0 or high > 2 or quality_score < 50 then 'REQUEST_CHANGES' when high > 0 or quality_score < 75 then 'COMMENT' else 'APPROVE' end as action from z"""))
+def review_quality(spark, sf):
+    return review.quality(fx.pull_requests(spark, sf), review.review_suggestions(fx.pr_files(spark, sf)))
+
+
+_TALK = "select conv_id % 40 as pr_id, conv_id * 100 + turn as id, role as author, text as body, timestamp '2024-02-01' + to_seconds((conv_id * 100 + turn) % 9973) as created_at, turn, conv_id * 100 + turn as s from conversations"
+
+
+@_query(f"select pr_id, id, kind, seq from (select *, row_number() over (partition by pr_id order by created_at, id) as seq from (select *, case when turn % 3 = 1 then 'review' else 'issue' end as kind from ({_TALK})))")
+def merged_comments(spark, sf):
+    talk = fx.pr_talk(spark, sf)
+    return review.merged_comments(talk.filter("path is null"), talk.filter("path is not null")).select("pr_id", "id", "kind", "seq")
+
+
+_COMMENTS = f"""with t as (select *, case when turn % 3 = 1 then 'src/a.ts' end as path, case when turn % 3 = 1 and s % 5 <> 0 then s % 50 + 1 end as line, case when turn % 3 = 2 then s - 1 end as reply, case when s % 7 = 0 then s % 60 + 1 end as start from ({_TALK})),
+e as (select *, (case when path is not null and line is null then 1 else 0 end) + (case when start is not null and line is null then 1 when start >= line then 1 else 0 end) + (case when coalesce(reply, 0) <> 0 and (path is not null or line is not null) then 1 else 0 end) as errors from t)"""
+
+
+@_query(_COMMENTS + " select id, errors from e")
+def comment_errors(spark, sf):
+    return review.comment_errors(fx.pr_talk(spark, sf)).select("id", F.size("errors").alias("errors"))
+
+
+@_query(_COMMENTS + """ select pr_id, id, case when reply is not null then 'reply' when path is null then 'general' else 'inline' end as action, case when reply is null and path is not null then line end::int as line, case when reply is null and path is not null then 'RIGHT' end as side,
+  case when reply is null and path is not null then 'sha' || pr_id::varchar end as commit_id, reply as in_reply_to from e where errors = 0""")
+def comment_outbox(spark, sf):
+    return review.comment_outbox(fx.pr_talk(spark, sf), fx.pull_requests(spark, sf)).select("pr_id", "id", "action", "line", "side", "commit_id", "in_reply_to")
+
+
+@_query(fx.with_sql("pr_files", f"""select pr_id, n_files, added, modified, removed, renamed, coalesce(n, 0) as n_comments, coalesce(a, 0) as commenters from (
+  select pr_id, count(*) as n_files, count(*) filter (status = 'added') as added, count(*) filter (status = 'modified') as modified, count(*) filter (status = 'removed') as removed, count(*) filter (status = 'renamed') as renamed from pr_files group by pr_id)
+  left join (select pr_id, count(*) as n, count(distinct author) as a from ({_TALK}) group by pr_id) using (pr_id)"""))
+def pr_details(spark, sf):
+    none = fx.pr_talk(spark, sf).select("pr_id", F.lit("COMMENTED").alias("state")).limit(0)
+    return review.pr_details(fx.pull_requests(spark, sf), fx.pr_files(spark, sf), fx.pr_talk(spark, sf), none).select("pr_id", "n_files", "added", "modified", "removed", "renamed", "n_comments", "commenters")
+
+
+@_query(fx.with_sql("repo_files", r"""select path, case when path like '%.ts' then 'typescript' when path like '%.js' then 'javascript' when path like '%.py' then 'python' when path like '%.md' then 'markdown' else 'json' end as language from repo_files"""))
+def file_languages(spark, sf):
+    return fx.repo_files(spark, sf).select("path", paths.language(F.col("path")).alias("language"))
+
+
+@_query("""select url, regexp_matches(regexp_replace(url, '(?i)http://(localhost|127\\.0\\.0\\.1)', '', 'g'), '(?i)http://') as insecure from pages""")
+def insecure_urls(spark, sf):
+    rule = next(r for r in rules.ISSUE_RULES["security"] if r.title == "Non-HTTPS URL")
+    return fx.read(spark, sf, "pages").select("url", rules.fits(F.col("url"), rule).alias("insecure"))
+
+
+_PATCHES = "patches as (select repo, hash, 'src/f' || (hash::bigint % 20)::varchar || '.txt' as path, message, body, author, ts from messages)"
+
+
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    body = F.transform(F.split("body", "\n"), lambda x: F.concat(F.lit("+"), x))
+    return fx.messages(spark, sf).select("repo", "hash", F.concat(F.lit("src/f"), (F.col("hash").cast("bigint") % 20).cast("string"), F.lit(".txt")).alias("path"), F.concat(F.lit("@@ -1,1 +1,9 @@\n-"), F.col("message"), F.lit("\n"), F.array_join(body, "\n")).alias("patch"))
+
+
+_BUGS = f"""with {_PATCHES}, lines as (select repo, hash, path, unnest(string_split(body, chr(10))) as content from patches),
+added as (select repo, hash, path, count(*) filter (not (content[1:2] = '++')) as a, count(*) filter (not (content[1:2] = '++') and regexp_matches(content, '(?i)\\bthat\\b')) as m from lines group by all),
+scored as (select repo, hash, path, a, m, message, author, ts, least(100, least(15 * m, 50) + {' + '.join(f"case when contains(lower(message), '{w}') then 10 else 0 end" for w in bugs.SUSPICIOUS)} + case when a + d > 100 then 15 when a + d > 50 then 10 else 0 end) as s
+  from (select *, case when message[1:2] = '--' then 0 else 1 end as d from added join patches using (repo, hash, path)))"""
+
+
+@_query(fx.with_sql("messages", _BUGS + " select repo, hash, path, author, m as matched_lines, s::bigint as suspicion_score from scored where m > 0"))
+def suspected_commits(spark, sf):
+    return bugs.suspected_commits(fx.messages(spark, sf), _patches(spark, sf), r"\bthat\b").select("repo", "hash", "path", "author", "matched_lines", "suspicion_score")
+
+
+@_query(fx.with_sql("messages", _BUGS + """ select repo, path, total_commits, suspected, case when suspected = 0 then 'low' when high >= 3 or suspected / total_commits::double > 0.5 then 'high' when high >= 1 or suspected / total_commits::double > 0.2 then 'medium' else 'low' end as risk_level from (
+  select repo, path, count(*) as total_commits, count(*) filter (m > 0) as suspected, count(*) filter (m > 0 and s >= 70) as high from scored group by repo, path)"""))
+def bug_risk(spark, sf):
+    return bugs.bug_risk(fx.messages(spark, sf), _patches(spark, sf), r"\bthat\b").select("repo", "path", "total_commits", "suspected", "risk_level")
+
+
+@_query(fx.with_sql("messages", f"with {_PATCHES} select repo, path, row_number() over (partition by repo, path order by ts, hash) as seq, hash, author from patches"))
+def change_timeline(spark, sf):
+    return bugs.change_timeline(fx.messages(spark, sf), _patches(spark, sf)).select("repo", "path", "seq", "hash", "author")
+
+
+@_query()
+def pickaxe(spark, sf):
+    return bugs.pickaxe(fx.messages(spark, sf), _patches(spark, sf), "that")
+
+
+_GRAPH = "with g as (select distinct project, src, dst from {0}), d as (select project, node, sum(i)::bigint as in_degree, sum(o)::bigint as out_degree from (select project, src as node, 0 as i, 1 as o from g union all select project, dst, 1, 0 from g) group by project, node)"
+
+
+@_query(fx.with_sql("links", _GRAPH.format("links") + """, m as (select project, max(in_degree + out_degree) as m from d group by project)
+  select project, count(*) as nodes, (sum(in_degree + out_degree) / 2)::bigint as edges, sum(in_degree + out_degree)::double / count(*) / 2 as average_degree, any_value(m)::bigint as max_degree, count(*) filter (in_degree = 0) as entry_points, count(*) filter (out_degree = 0) as leaf_nodes,
+  count(*) filter (in_degree + out_degree = m) as most_connected from d join m using (project) group by project"""))
+def graph_stats(spark, sf):
+    return graph.graph_stats(fx.links(spark, sf))
+
+
+@_query(fx.with_sql("links", _GRAPH.format("links") + " select project, node, in_degree, out_degree, in_degree + out_degree as degree from d"))
+def graph_degrees(spark, sf):
+    return graph.degrees(fx.links(spark, sf))
+
+
+@_query(fx.with_sql("links", _GRAPH.format("links") + " select project, node from d where in_degree = 0"))
+def entry_points(spark, sf):
+    return graph.entry_points(fx.links(spark, sf))
+
+
+@_query(fx.with_sql("links", _GRAPH.format("links") + " select project, node from d where out_degree = 0"))
+def leaf_nodes(spark, sf):
+    return graph.leaf_nodes(fx.links(spark, sf))
+
+
+_REACH = "with reach as (select src, dst from edges where src <> dst union select reach.src, edges.dst from reach join edges on reach.dst = edges.src), mutual as (select a.src as node, least(min(a.dst), a.src) as component from reach a join reach b on a.src = b.dst and a.dst = b.src group by a.src having count(*) filter (a.dst <> a.src) > 0)"
+
+
+@_query(fx.with_sql("edges", _REACH + " select 'main' as project, node, component from mutual", recursive=True))
+def strong_components(spark, sf):
+    return graph.strong_components(fx.edges(spark, sf))
+
+
+_CYCLES = _REACH + """, outside as (select m.component, count(*) as n from edges e join mutual m on e.dst = m.node left join mutual s on e.src = s.node where s.component is null or s.component <> m.component group by m.component),
+cyc as (select component, count(*) as length, coalesce(any_value(n), 0) as affected, array_to_string(list_sort(list(node)), ',') as members from mutual left join outside using (component) group by component),
+rated as (select *, case when length >= 5 or affected >= 10 then 'critical' when length >= 4 or affected >= 5 then 'high' when length >= 3 or affected >= 2 then 'medium' else 'low' end as severity from cyc)"""
+
+
+@_query(fx.with_sql("edges", _CYCLES + " select component, members, length, affected, severity from rated", recursive=True))
+def dependency_cycles(spark, sf):
+    return graph.cycles(fx.edges(spark, sf)).select("component", F.array_join("members", ",").alias("members"), "length", "affected", "severity")
+
+
+@_query(fx.with_sql("edges", _CYCLES + " select 'main' as project, count(*) as total_cycles, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low, sum(length)::bigint as affected_files from rated", recursive=True))
+def cycle_summary(spark, sf):
+    return graph.cycle_summary(graph.cycles(fx.edges(spark, sf)))
+
+
+@_query(fx.with_sql("edges", "with r(node, depth) as (select '7', 0 union select e.dst, depth + 1 from r join edges e on e.src = r.node where depth < 60) select 'main' as project, node, min(depth) as depth from r group by node having min(depth) > 0", recursive=True))
+def transitive_dependencies(spark, sf):
+    start = fx.edges(spark, sf).select("project", F.lit("7").alias("node")).distinct()
+    return graph.transitive_dependencies(fx.edges(spark, sf), start)
+
+
+@_query(fx.with_sql("edges", "with r(node, depth) as (select '7', 0 union select e.src, depth + 1 from r join edges e on e.dst = r.node where depth < 60) select 'main' as project, node, min(depth) as depth from r group by node having min(depth) > 0", recursive=True))
+def reverse_dependencies(spark, sf):
+    start = fx.edges(spark, sf).select("project", F.lit("7").alias("node")).distinct()
+    return graph.reverse_dependencies(fx.edges(spark, sf), start)
+
+
+@_query(fx.with_sql("links", "select project, node, (not e)::int as level from (select project, src as node, true as e from links union select project, dst, false from links where dst not in (select src from links))"))
+def topological_levels(spark, sf):
+    return graph.topological_levels(fx.links(spark, sf))
+
+
+@_query(fx.with_sql("links", "select project, node, (not e)::int as depth from (select project, src as node, true as e from links union select project, dst, false from links where dst not in (select src from links))"))
+def node_depths(spark, sf):
+    return graph.node_depths(fx.links(spark, sf))
+
+
+_COUPLED = """with i as (select project, dst as path, count(*) as ca from tree_edges group by all), o as (select project, src as path, count(*) as ce from tree_edges group by all),
+m as (select project, path, coalesce(ca, 0) as ca, coalesce(ce, 0) as ce from tree left join i using (project, path) left join o using (project, path)),
+r as (select *, case when ca + ce = 0 then 0 else ce::double / (ca + ce) end as instability, regexp_matches(path, '(?i)\\b(interface|abstract|types?|contracts?)\\b')::int as abstractness from m)"""
+
+
+@_query(fx.with_sql("tree tree_edges", _COUPLED + " select project, path, ca, ce, instability, abstractness, abs(abstractness + instability - 1) as distance from r"))
+def module_coupling(spark, sf):
+    return modules.coupling(fx.tree(spark, sf), fx.tree_edges(spark, sf))
+
+
+def _case_sql(pairs: tuple[tuple[str, str], ...], other: str) -> str:
+    return "case " + " ".join(f"when regexp_matches('/' || path, '{p}') then '{n}'" for p, n in pairs) + f" else '{other}' end"
+
+
+_GROUP_SQL = {"directory": "array_to_string(string_split(regexp_replace(path, '/[^/]*$', ''), '/')[1:2], '/')", "feature": _case_sql(paths.FEATURES, "other"), "layer": _case_sql(paths.GROUP_LAYERS, "unknown")}
+
+
+def _groups(by: str) -> None:
+    sql = fx.with_sql("tree tree_edges", f"""with t as (select project, path, {_GROUP_SQL[by]} as "group" from tree),
+      l as (select a."group" as g1, b."group" as g2 from tree_edges e join t a on e.src = a.path join t b on e.dst = b.path),
+      x as (select "group", count(*) as size, (select count(*) from t) as n from t group by "group"),
+      y as (select *, (select count(*) from l where g1 = x."group" and g2 = x."group") as internal, (select count(*) from l where (g1 = x."group") <> (g2 = x."group")) as external from x)
+      select 'main' as project, "group", size, internal, external, case when size <= 1 then 1.0::double else internal::double / (size * (size - 1)) end as cohesion, case when n = size then 0.0::double else external::double / (size * (n - size) + 1) end as coupling from y""")
+
+    def run(spark, sf):
+        return modules.group_metrics(modules.grouped(fx.tree(spark, sf), by), fx.tree_edges(spark, sf))
+
+    run.__name__ = f"module_groups_{by}"
+    _query(sql)(run)
+
+
+for _by in _GROUP_SQL:
+    _groups(_by)
+
+
+@_query(fx.with_sql("tree", f"select project, {_case_sql(paths.OVERVIEW_LAYERS, 'Other')} as layer, count(*) as modules from tree group by all"))
+def overview_layers(spark, sf):
+    return modules.overview_layers(fx.tree(spark, sf))
+
+
+@_query(fx.with_sql("tree", "select 'main' as project, 'Layered Architecture (3-tier)' as style"))
+def architecture_style(spark, sf):
+    return modules.architecture_style(fx.tree(spark, sf))
+
+
+def queries() -> dict[str, Q]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
