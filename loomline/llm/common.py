@@ -80,6 +80,13 @@ def located(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; Spark shuffles it otherwise."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, placed, small, stage
+from .common import SPACES, free, placed, small, stage
 
 WIDTH, PERCENT = 5, 80
 
@@ -110,8 +110,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
     """docs' own columns, without the rows that contain an item."""
     docs = docs if placed(docs) else stage(docs, "docs")
     gone = stage(_found(docs, items, width, percent).select("_file", "_row").distinct(), "gone")
-    place = docs.select("*", F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return place.join(small(gone, 64), ["_file", "_row"], "left_anti").select(*docs.columns)
+    file, row = free("_file", docs.columns), free("_row", docs.columns)
+    place = docs.select("*", F.xxhash64(F.col("_metadata.file_path")).alias(file), F.col("_metadata.row_index").alias(row))
+    return place.join(small(gone.toDF(file, row), 64), [file, row], "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, located, new_path, placed, small, stage
+from .common import SPACES, free, located, new_path, placed, small, stage
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -115,8 +115,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
     if not placed(docs):
         docs = stage(docs, "docs")
     gone = stage(_decide(docs, sha256).filter("not kept").select("_file", "_row"), "gone")
-    place = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return place.join(small(gone, 256), ["_file", "_row"], "left_anti").select(*docs.columns)
+    file, row = free("_file", docs.columns), free("_row", docs.columns)
+    place = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return place.join(small(gone.toDF(file, row), 256), [file, row], "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

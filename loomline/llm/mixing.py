@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, stage
+from .common import WORD, free, small, stage
 
 #: Draws tried per source; the one whose sum comes nearest to the target is used. Each is a plain hash-seeded Bernoulli draw.
 SEEDS = 16
@@ -96,10 +96,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     Rates are joined to the documents by broadcast while sources are few; texts are not shuffled then.
     """
     sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    rates = mixing_rates(sized, weights, most).withColumnRenamed("source", "_source")
-    joined = docs.alias("d").join(small(rates, 64), F.col("d.source").eqNullSafe(F.col("_source")))
-    copies = F.col("whole") + F.when(draw(F.col("d.doc_id"), F.col("seed")) < F.col("fraction"), 1).otherwise(0)
-    return joined.filter(copies > 0).select("d.*", F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))).alias("mix_copy"))
+    rates = mixing_rates(sized, weights, most)
+    joined = docs.alias("d").join(small(rates, 64).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
+    copies = F.col("r.whole") + F.when(draw(F.col("d.doc_id"), F.col("r.seed")) < F.col("r.fraction"), 1).otherwise(0)
+    return joined.filter(copies > 0).select("d.*", F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))).alias(free("mix_copy", docs.columns)))
 
 
 ORACLE = r"""

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
+from .common import free
 from .labelled import SAMPLE_ROWS, held_out, sample
 
 #: Hashed words, hashed shapes, and dimensions of a vector. Together they bound what is summed and broadcast.
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str]) -> DataFrame:
     """The kept columns of docs with score as _score. Null text scores as empty text does."""
-    names = [*keep, "_score"]
+    names = [*keep, free("_score", keep)]
     at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +200,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str]) -
                 yield pa.RecordBatch.from_arrays([*part, pa.array(net.score(pooled(data, offsets, vectors)), pa.float64())], names=names)
 
     rows = docs.select(*keep) if at < len(keep) else docs.select(*keep, "text")
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "`_score` double"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), f"`{names[-1]}` double"]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -216,4 +217,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs' own columns, without the documents that score below the threshold."""
     vectors, net = fit(docs, labels)
-    return score(docs, vectors, net, docs.columns).filter(F.col("_score") >= threshold).drop("_score")
+    scored = score(docs, vectors, net, docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)
