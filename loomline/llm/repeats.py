@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import BROADCAST_BYTES, placed, small, stage
+from .common import placed, small, stage
 
 LENGTH, GRAM = 400, 128
 #: Occurrences of an anchor that one salt takes, and surroundings in a slice, about.
@@ -217,20 +217,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     work = rows.select("_file", "_row", "text").filter(F.octet_length("text") >= LENGTH).join(small(again, 32), ["_file", "_row"], "left_anti")
     found = stage(work.mapInArrow(_find, "anchor bigint, _file bigint, _row bigint, at int"), "anchors")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
-    wanted = stage(found.join(twice, "anchor").groupBy("_file", "_row").agg(F.collect_list("at").alias("at"), F.collect_list("salts").alias("salts")), "wanted")
-    sent, of_rows = wanted.agg(F.sum(F.size("at")), F.count(F.lit(1))).first()
-    sent = sent or 0
-    near = F.broadcast(wanted) if sent * 16 + of_rows * 64 <= BROADCAST_BYTES else wanted
+    # anchors that need more than one salt are few at any size: a PER_SALT-th of all anchors at most
+    hot = small(stage(twice.filter("salts > 1"), "hot"), 32)
+    known_twice = found.join(hot, "anchor").unionByName(found.join(hot, "anchor", "left_anti").join(twice.filter("salts = 1"), "anchor"))
+    wanted = stage(known_twice.groupBy("_file", "_row").agg(F.collect_list("at").alias("at"), F.collect_list("salts").alias("salts")), "wanted")
+    sent = wanted.agg(F.sum(F.size("at"))).first()[0] or 0
     slices = max(16, -(-sent // PER_SLICE))
-    around = work.join(near, ["_file", "_row"]).mapInArrow(_surroundings(slices), _SENT)
+    # only texts with such anchors go on; they are shuffled once as part of all texts, and then among themselves
+    involved = stage(work.join(wanted, ["_file", "_row"]), "involved")
+    around = involved.mapInArrow(_surroundings(slices), _SENT)
     compared = stage(around.groupBy("slice").applyInArrow(_compare, _FOUND), "compared")
     spread = compared.filter("window is not null")
     more = spread.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
     windows = compared.filter("window is null").unionByName(spread.filter("_file is not null").join(more, "window").select(*compared.columns))
-    runs = stage(windows.groupBy("_file", "_row").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes")), "runs")
-    n_runs, of_rows = runs.agg(F.sum(F.size("starts")), F.count(F.lit(1))).first()
-    of_text = F.broadcast(runs) if (n_runs or 0) * 16 + of_rows * 64 <= BROADCAST_BYTES else runs
-    cut = stage(work.join(of_text, ["_file", "_row"]).mapInArrow(_cut, "_file bigint, _row bigint, removed bigint, spans bigint, left string"), "cut")
+    runs = windows.groupBy("_file", "_row").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
+    texts = involved.select("_file", "_row", "text")
+    cut = stage(texts.join(runs, ["_file", "_row"]).mapInArrow(_cut, "_file bigint, _row bigint, removed bigint, spans bigint, left string"), "cut")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     nothing = hashlib.sha256(b"").hexdigest()
     return known.join(cut, ["_file", "_row"], "left").select(
