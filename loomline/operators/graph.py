@@ -167,15 +167,25 @@ def top_cycles(found: DataFrame, most: int = 20) -> DataFrame:
     return found.withColumn("seq", order).filter(F.col("seq") <= most)
 
 
+# What is said wherever there are cycles, and where there are none.
+CYCLE_TIPS = (
+    "General tips for breaking cycles:", "- Extract shared code into a separate utility module", "- Use dependency injection to invert dependencies", "- Implement interfaces/protocols to decouple modules",
+    "- Consider using an event bus for cross-module communication", "- Apply the Dependency Inversion Principle",
+)
+NO_CYCLES = "No circular dependencies detected. Great job maintaining clean architecture!"
+
+
 def cycle_recommendations(found: DataFrame) -> DataFrame:
     """Per project the advice that its cycles call for, in order."""
     per = found.groupBy("project").agg(
         F.count_if(F.col("severity") == "critical").alias("c"), F.count_if(F.col("severity") == "high").alias("h"), F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.min("length").alias("shortest"))
-    fixed = ("Consider using dependency injection to break cycles", "Extract shared code into a separate module", "Use events or callbacks to decouple modules")
+    number = lambda c: F.col(c).cast("string")
     advice = F.array_compact(F.array(
-        F.when(F.col("c") > 0, F.concat(F.col("c").cast("string"), F.lit(" critical cycle(s): resolve these first"))), F.when(F.col("h") > 0, F.concat(F.col("h").cast("string"), F.lit(" cycle(s) of high severity: plan their removal"))),
-        F.when(F.col("n") > 5, F.lit("Many cycles: review the module structure")), F.when(F.col("shortest") == 2, F.lit("Pairs that import each other: merge them or extract what both need")),
-        F.when(F.col("longest") >= 4, F.lit("Long cycles: introduce layers with one direction of imports")), *[F.lit(t) for t in fixed],
+        F.when(F.col("c") > 0, F.concat(F.lit("URGENT: "), number("c"), F.lit(" critical cycle(s) found. These should be addressed immediately as they can cause unpredictable behavior."))),
+        F.when(F.col("h") > 0, F.concat(number("h"), F.lit(" high-severity cycle(s) need attention. Consider refactoring these modules."))),
+        F.when(F.col("n") > 5, F.lit("Multiple cycles detected. Consider a broader architectural review to identify design issues.")),
+        F.when(F.col("shortest") == 2, F.lit("Two-node cycles often indicate modules that should be merged or have a common dependency extracted.")),
+        F.when(F.col("longest") >= 4, F.lit("Larger cycles (4+ modules) suggest a need for dependency injection or event-based communication.")), *[F.lit(t) for t in CYCLE_TIPS],
     ))
     return per.select("project", advice.alias("recommendations"))
 

@@ -73,7 +73,7 @@ def blame_line(line: Column) -> Column:
 
 def commit_show(text: Column) -> Column:
     part = lambda form: F.regexp_extract(text, form, 1)
-    message = F.trim(F.regexp_replace(part(r"(?s)\n\n((?:    [^\n]*\n?|\n)+)"), r"(?m)^    ", ""))
+    message = F.regexp_replace(F.regexp_replace(part(r"(?s)\n\n((?:    [^\n]*\n?|\n)+)"), r"(?m)^    ", ""), r"^\s+|\s+$", "")
     return F.when(text.rlike(r"(?m)^commit [0-9a-f]+"), F.struct(
         part(r"(?m)^commit ([0-9a-f]+)").alias("hash"), part(r"(?m)^Author:\s+(.+?)\s+<").alias("author"), part(r"(?m)^Author:.*<(.+?)>").alias("email"), part(r"(?m)^Date:\s+(.+)$").alias("date"), message.alias("message")))
 
