@@ -109,28 +109,21 @@ def _send(width: int, bits: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        tokens, docs, ids, sizes, held, n = [], [], [], [], 0, 0
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = n = 0
         for batch in batches:
             all_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, token, doc in _sets(batch.column("text"), WIDTH if width is None else width):
-                if n and (held + len(token) > CHUNK_TOKENS or n + b - a > CHUNK_DOCS):
-                    yield from flush(chunk, np.concatenate(tokens), np.concatenate(docs), np.concatenate(ids), np.concatenate(sizes))
-                    chunk += 1
-                    tokens, docs, ids, sizes, held, n = [], [], [], [], 0, 0
+            for a, b, token, doc in _sets(batch.column("text"), width):
                 for lo in range(0, b - a, CHUNK_DOCS):  # very short texts: many documents in few bytes
                     hi = min(b - a, lo + CHUNK_DOCS)
                     x, y = np.searchsorted(doc, [lo, hi])
-                    if n and n + hi - lo > CHUNK_DOCS:
-                        yield from flush(chunk, np.concatenate(tokens), np.concatenate(docs), np.concatenate(ids), np.concatenate(sizes))
-                        chunk += 1
-                        tokens, docs, ids, sizes, held, n = [], [], [], [], 0, 0
-                    tokens.append(token[x:y])
-                    docs.append(doc[x:y] - lo + n)
-                    ids.append(all_ids[a + lo : a + hi])
-                    sizes.append(np.bincount(doc[x:y] - lo, minlength=hi - lo).astype(np.int64))
+                    if n and (held + y - x > CHUNK_TOKENS or n + hi - lo > CHUNK_DOCS):
+                        yield from flush(chunk, *map(np.concatenate, zip(*parts, strict=True)))
+                        chunk, parts, held, n = chunk + 1, [], 0, 0
+                    parts.append((token[x:y], doc[x:y] - lo + n, all_ids[a + lo : a + hi], np.bincount(doc[x:y] - lo, minlength=hi - lo).astype(np.int64)))
                     held, n = held + y - x, n + hi - lo
         if held:
-            yield from flush(chunk, np.concatenate(tokens), np.concatenate(docs), np.concatenate(ids), np.concatenate(sizes))
+            yield from flush(chunk, *map(np.concatenate, zip(*parts, strict=True)))
 
     return send
 
