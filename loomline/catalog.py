@@ -12,7 +12,6 @@ from .functions.textsim import longer_words, similarity
 from .operators import bugs, churn, contributors, diffs, graph, health, modules, review, rules, search
 from .plans import fixtures as fx
 
-AT = F.lit
 Q = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Q] = {}
 _SQL: dict[str, str] = {}

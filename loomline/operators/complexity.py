@@ -40,7 +40,7 @@ def js_functions(text: str) -> list[dict]:
     out = []
     for m in _HEAD.finditer(s):
         name = m["f"] or m["v"] or m["m"]
-        if not name or name in {"if", "for", "while", "switch", "catch", "return", "function", "constructor_"}:
+        if not name or name in {"if", "for", "while", "switch", "catch", "return", "function"}:
             continue
         opened = m.end() - 1
         closed = _closing(s, opened, "()")

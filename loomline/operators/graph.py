@@ -119,15 +119,47 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return left
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(project, node, component) of components with more than one node; the component is its smallest node. Edges to oneself do not count."""
+#: Edges on possible cycles up to which the closure is built; it takes few rounds, but grows with the square of a component.
+CLOSURE_EDGES = 20_000
+
+
+def strong_components(edges: DataFrame, closure_edges: int = CLOSURE_EDGES) -> DataFrame:
+    """(project, node, component) of components with more than one node; the component is its smallest node. Edges to oneself do not count.
+
+    Few edges are closed by doubling. More of them are coloured, in space that is linear in the edges.
+    """
     inner = trimmed(edges)
+    if inner.count() > closure_edges:
+        return _coloured(inner)
     pairs = reach(inner)
     mutual = pairs.alias("a").join(pairs.alias("b"), (F.col("a.project") == F.col("b.project")) & (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
     found = mutual.groupBy(F.col("a.project").alias("project"), F.col("a.src").alias("node")).agg(F.min("a.dst").alias("least"))
     return found.select("project", "node", F.least("least", "node").alias("component"))
 
 
+def _coloured(left: DataFrame) -> DataFrame:
+    """Every node takes the smallest node that reaches it as its colour. What reaches a colour's root within the colour is the root's component; it is taken out, and the rest goes on."""
+    out = nodes(left).withColumn("component", F.col("node")).limit(0)
+    while not left.isEmpty():
+        colour = cut(nodes(left).withColumn("colour", F.col("node")))
+        while True:
+            offered = left.join(colour.withColumnRenamed("node", "src"), ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+            moved = colour.join(offered, ["project", "node"], "left").withColumn("less", F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)))
+            moved = cut(moved.select("project", "node", F.when(F.col("less"), F.col("offer")).otherwise(F.col("colour")).alias("colour"), "less"))
+            colour = moved.drop("less")
+            if moved.filter("less").isEmpty():
+                break
+        inside = left.join(colour.toDF("project", "src", "c1"), ["project", "src"]).join(colour.toDF("project", "dst", "c2"), ["project", "dst"]).filter("c1 = c2")
+        roots = colour.filter("node = colour").select("project", "node")
+        own = _frontier(inside.select("project", F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("project", "node")
+        members = cut(own.join(colour, ["project", "node"]).withColumnRenamed("colour", "component"))
+        several = members.groupBy("project", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        out = cut(out.unionByName(members.join(several, ["project", "component"]).select(*out.columns)))
+        rest = left.join(members.select("project", F.col("node").alias("src")), ["project", "src"], "left_anti").join(members.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_anti")
+        left = trimmed(rest)
+    return out
+
+
 def cycle_severity(length: Column, affected: Column) -> Column:
     return (
         F.when((length >= 5) | (affected >= 10), "critical").when((length >= 4) | (affected >= 5), "high").when((length >= 3) | (affected >= 2), "medium").otherwise("low")

@@ -1,6 +1,7 @@
 """Formulas, parsers and renderers on hand-made cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,13 @@ def test_graph(spark):
     assert render.dot([], []).startswith("digraph G {\n  empty") and '"source": "a"' in render.graph_json(["a", "b"], [("a", "b", 1)])
 
 
+def test_both_ways_to_components_agree(spark):
+    rng = random.Random(4)
+    g = edges(spark, *{(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(55)}, ("n98", "n99"), ("n99", "n98"))
+    rows = lambda limit: {(r["node"], r["component"]) for r in graph.strong_components(g, limit).collect()}
+    assert rows(0) == rows(10**6) and ("n99", "n98") in rows(0)
+
+
 TS = """import fs from 'fs';
 import { a, b } from "./util.js"; // import x from 'no'
 export * from './other';
