@@ -17,7 +17,8 @@ from .common import SPACES, free, located, new_path, placed, small, stage
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store is closed once its task has committed, not kept open
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many stores reserves 4 MB
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
