@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from . import bytesgrams as bg
 from .labelled import SAMPLE_ROWS, held_out, sample
 
-#: Hashed terms; factors of each; learned rows that must hold a term; terms kept at most, and their least chi-square against the label (one in a million by chance).
-TERMS, FACTORS, LEAST_ROWS, MOST_TERMS, LEAST_CHI = 1 << 20, 6, 4, 4096, 22.0
+#: Hashed terms; factors of each; learned rows that must hold a term; steps of the training at least.
+TERMS, FACTORS, LEAST_ROWS, LEAST_STEPS = 1 << 20, 6, 4, 600
+#: Decay of the factors, over the number of learned rows; decay of a linear weight, in standard deviations of its gradient by chance.
+DECAY, CHANCE = 4.0, 0.7
 #: Bytes of the word beginnings that are terms of their own, so that inflected forms share one.
 PREFIXES = (4, 5, 6)
 
@@ -62,52 +64,57 @@ def forward(doc: np.ndarray, at: np.ndarray, n: int, w0: float, w: np.ndarray, v
     return w0 + np.bincount(doc, weights=w[at], minlength=n) + 0.5 * damp * ((sums**2).sum(1) - own), sums, damp
 
 
-def telling(rows: np.ndarray, of_label: np.ndarray, n: int, n_label: float) -> np.ndarray:
-    """The terms in enough rows with the largest chi-square against the label, in order of their hashes."""
-    expected = rows * n_label / max(n, 1)
-    spread = expected * (1 - n_label / max(n, 1)) * (1 - rows / max(n + 1, 1))
-    chi = np.where(rows >= LEAST_ROWS, (of_label - expected) ** 2 / np.maximum(spread, 1e-9), -1.0)
-    best = np.argsort(-chi, kind="stable")[:MOST_TERMS]
-    return np.sort(best[chi[best] >= LEAST_CHI])
+def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Machine:
+    """Adam on the log loss, over every term in enough rows. doc (0 to len(y) - 1, in order) and term are the distinct terms of each learned text.
 
-
-def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.02, decay: float = 2e-4, seed: int = 5) -> Machine:
-    """Adam on the log loss. doc (0 to len(y) - 1, in order) and term are the distinct terms of each learned text."""
-    rows = np.bincount(term, minlength=TERMS)
-    of_label = np.bincount(term, weights=y[doc], minlength=TERMS)
-    used = telling(rows, of_label, len(y), float(y.sum()))
-    place = np.full(TERMS, -1, np.int32)
-    place[used] = np.arange(len(used))
+    Only decay holds terms back, and only in the joint fit: the factors decay in proportion (L2), the linear weights by steps
+    (L1), of the size that chance alone gives a term's gradient. A term without a linear weight keeps its factors.
+    """
     if len(set(y.tolist())) < 2:
         prior = 0.0 if not len(y) else float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return Machine(np.full(TERMS, -1, np.int32), prior, np.zeros(1), np.zeros((1, FACTORS)))
-    hit = place[term] >= 0
-    doc, at = doc[hit], place[term[hit]].astype(np.int64)
-    begin = np.searchsorted(doc, np.arange(len(y) + 1))
+    rows = np.bincount(term, minlength=TERMS)
+    used = np.flatnonzero(rows >= LEAST_ROWS)
+    place = np.full(TERMS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    at = place[term]
+    hit = at >= 0
+    at, doc = at[hit], doc[hit]
+    begin = np.searchsorted(doc, np.arange(len(y) + 1, dtype=doc.dtype))
+    n, share = max(len(used), 1), np.zeros(max(len(used), 1))
+    share[: len(used)] = rows[used] / len(y)
+    least = (CHANCE * np.sqrt(share * (1 - share) * y.mean() * (1 - y.mean()) / len(y))).astype(np.float32)
     rng = np.random.default_rng(seed)
-    n = len(used)
-    w0, w, v = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(max(n, 1)), rng.normal(0, 0.05, (max(n, 1), FACTORS))
-    m, s, step = [0.0, np.zeros_like(w), np.zeros_like(v)], [0.0, np.zeros_like(w), np.zeros_like(v)], 0
+    # the weight and the factors of each term
+    p = np.zeros((n, 1 + FACTORS), np.float32)
+    p[:, 1:] = rng.normal(0, 0.05, (n, FACTORS))
+    g, m, s = np.zeros_like(p), np.zeros_like(p), np.zeros_like(p)
+    w0, m0, s0, step = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0, 0.0, 0
+    parts = max(1, len(y) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // parts))
     for epoch in range(epochs):
         eta = rate * (1 - epoch / epochs) + 1e-4
-        for rows_ in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+        for rows_ in np.array_split(rng.permutation(len(y)), parts):
             length = begin[rows_ + 1] - begin[rows_]
             of = np.repeat(np.arange(len(rows_)), length)
             x = at[np.repeat(begin[rows_], length) + np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)]
-            z, sums, damp = forward(of, x, len(rows_), w0, w, v)
+            z, sums, damp = forward(of, x, len(rows_), w0, p[:, 0], p[:, 1:])
             err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows_]) / len(rows_)
             pull = err[of]
-            gw = np.bincount(x, weights=pull, minlength=len(w)) + decay * w
-            part = (pull * damp[of])[:, None] * (sums[of] - v[x])
-            gv = np.stack([np.bincount(x, weights=part[:, k], minlength=len(w)) for k in range(FACTORS)], axis=1) + decay * v
+            part = (pull * damp[of])[:, None] * (sums[of] - p[x, 1:])
+            g[:, 0] = np.bincount(x, weights=pull, minlength=n)
+            for k in range(FACTORS):
+                g[:, 1 + k] = np.bincount(x, weights=part[:, k], minlength=n)
+            g[:, 1:] += np.float32(DECAY / len(y)) * p[:, 1:]
             step += 1
-            new = []
-            for k, (p, g) in enumerate(((w0, err.sum()), (w, gw), (v, gv))):
-                m[k] = m[k] + 0.1 * (g - m[k])
-                s[k] = s[k] + 0.001 * (g * g - s[k])
-                new.append(p - eta * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8))
-            w0, w, v = float(new[0]), new[1], new[2]
-    return Machine(place, w0, w, v)
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.001) * (g * g - s)
+            pace = np.float32(eta) / (np.sqrt(s / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+            p -= pace * m / np.float32(1 - 0.9**step)
+            p[:, 0] = np.sign(p[:, 0]) * np.maximum(np.abs(p[:, 0]) - pace[:, 0] * least, 0)
+            m0, s0 = m0 + 0.1 * (err.sum() - m0), s0 + 0.001 * (err.sum() ** 2 - s0)
+            w0 -= float(eta * (m0 / (1 - 0.9**step)) / (np.sqrt(s0 / (1 - 0.999**step)) + 1e-8))
+    return Machine(place, w0, p[:, 0].copy(), p[:, 1:].copy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
@@ -125,9 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
 
     wanted = sample(docs, labels, "toxic", rows).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     got = wanted.mapInArrow(features, "doc_id bigint, label int, terms binary").toPandas().sort_values(["doc_id", "terms"], ignore_index=True)
-    held = [np.frombuffer(t, np.int32) for t in got["terms"]]
-    term = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
-    return train(np.repeat(np.arange(len(held)), [len(t) for t in held]), term, got["label"].to_numpy(dtype=float))
+    y, held = got["label"].to_numpy(dtype=float), [np.frombuffer(t, np.int32) for t in got.pop("terms")]
+    doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for t in held])
+    term = np.concatenate(held) if held else np.zeros(0, np.int32)
+    del got, held
+    return train(doc, term, y)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -271,6 +271,34 @@ def test_toxicity_learns_pairs():
     assert m.w.size and np.mean((toxicity.forward(doc, m.place[term].clip(0), 600, m.w0, m.w, m.v)[0] > 0) == y) >= 0.5
 
 
+def test_toxicity_learns_terms_that_tell_only_in_pairs():
+    rng = np.random.default_rng(7)
+
+    def texts(n):
+        rows = [(rng.random() < 0.5, rng.random() < 0.5, np.unique(100 + (2000 ** rng.random(12)).astype(int))) for _ in range(n)]
+        doc = np.concatenate([[k] * (a + b + len(c)) for k, (a, b, c) in enumerate(rows)])
+        term = np.concatenate([[*([7] if a else []), *([9] if b else []), *c] for a, b, c in rows])
+        return doc, term, np.array([float(a == b) for a, b, _ in rows])
+
+    doc, term, y = texts(2000)
+    m = toxicity.train(doc, term, y)
+    assert set(np.flatnonzero(m.place >= 0)) == set(np.flatnonzero(np.bincount(term) >= toxicity.LEAST_ROWS))
+    doc, term, y = texts(500)
+    used = m.place[term] >= 0
+    assert np.mean((toxicity.forward(doc[used], m.place[term[used]], 500, m.w0, m.w, m.v)[0] > 0) == y) > 0.95
+
+
+def test_toxicity_pairs_by_the_machines_own_terms():
+    rng = np.random.default_rng(0)
+    rows = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(600)]
+    doc = np.concatenate([[k] * (1 + a + b) for k, (a, b) in enumerate(rows)])
+    term = np.concatenate([[5, *([7] if a else []), *([9] if b else [])] for a, b in rows])
+    y = np.array([float(a == b) for a, b in rows])
+    m = toxicity.train(doc, term, y, epochs=80)
+    assert (m.place[[5, 7, 9]] >= 0).all()
+    assert np.mean((toxicity.forward(doc, m.place[term], 600, m.w0, m.w, m.v)[0] > 0) == y) > 0.95
+
+
 def test_temperature():
     rng = np.random.default_rng(1)
     z = rng.normal(0, 1, 4000)
