@@ -211,16 +211,20 @@ def prefix_keys(n: int, tokens: np.ndarray, dfs: np.ndarray, percent: int = PERC
     """Index keys of a set of n tokens, of which `tokens` (in the common order) are shared; the others come before them."""
     alone = n - len(tokens)
     short = n - (percent * n + 99) // 100 + 1
+    # sizes of similar sets lie within one step of the levels, so they have a level in common; from 80 % on steps of 1.25 do
+    base = min(percent, 80)
     level = 0
-    while 5 ** (level + 1) <= n * 4 ** (level + 1):
+    while 100 ** (level + 1) <= n * base ** (level + 1):
         level += 1
     keys = []
     longest = short
     for lv in (level, level + 1):
-        size = 1.25**lv
-        groups = max(1, int((1 - percent / 100) * size / PER_GROUP))
-        # below five tokens two sets may share fewer tokens than two, so all tokens are keys on their own
-        alone_keys = size < 5
+        size = (100 / base) ** lv
+        # similar sets of this level share so many tokens at least, and groups must be fewer
+        sure = int(size * (base / 100) ** 2)
+        groups = max(1, min(int((1 - percent / 100) * size / PER_GROUP), sure - 1))
+        # small sets may share fewer tokens than two, so all tokens are keys on their own
+        alone_keys = size < 5 or sure < 2
         end = short if alone_keys else short + groups
         longest = max(longest, end)
         part = tokens[: max(0, end - alone)]

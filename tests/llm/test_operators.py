@@ -131,6 +131,20 @@ def test_prefix_keys_lose_no_similar_pair():
                 assert keys[0] & keys[1], (n, often, drop, add)
 
 
+@pytest.mark.parametrize("percent", [20, 40, 60, 75, 80, 90])
+def test_prefix_keys_of_other_percents_lose_no_similar_pair(percent):
+    for n in (2, 3, 6, 9, 30, 100, 240):
+        for m in sorted({n, n + 1, (n * 100 // percent + n) // 2, n * 100 // percent}):
+            if 100 * n < percent * m:
+                continue
+            for seed in range(4):
+                rng = np.random.default_rng(seed)
+                tokens = np.unique(rng.integers(1, 2**63, m + 5, dtype=np.int64)).astype(np.uint64)
+                big = rng.permutation(tokens)[:m]
+                keys = [set(ngram_join.prefix_keys(len(s), np.sort(s), np.full(len(s), 50, np.uint32), percent).tolist()) for s in (big, big[:n])]
+                assert keys[0] & keys[1], (n, m, seed)
+
+
 def test_frequent_tokens_and_blocks(spark, docs, texts, monkeypatch):
     plain = got(ngram_join.similar_components(docs))
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
