@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, ngram_join, quality, repeats, tokens, toxicity, warc
+from . import decontaminate, exact, lines, mixing, ngram_join, quality, repeats, tokens, toxicity, warc
 from .common import new_path, table
 
 
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "token-cache"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_token_counts, op3_quality_classifier, op4_decontaminate, op5_warc_convert, op6_ngram_join, op7_toxicity, op8_mix_sources, op9_repeat_dedup, op10_exact_dedup)
+_QUERIES = (op1_token_counts, op2_line_dedup, op3_quality_classifier, op4_decontaminate, op5_warc_convert, op6_ngram_join, op7_toxicity, op8_mix_sources, op9_repeat_dedup, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -57,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE, "op5_warc_convert": warc.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_warc_convert": warc.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact.ORACLE}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +93,29 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: A key is hot when it holds more rows than a HOT_KEYS-th of all, and than HOT_ROWS; so there are fewer than HOT_KEYS hot keys at any size.
+HOT_KEYS, HOT_ROWS = 1 << 16, 128
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row for each key and, in `count`, how many rows hold the key.
+
+    The rows of hot keys stay where they are: the table's rows for those, fewer than HOT_KEYS, go to every executor. The
+    other keys are shuffled. how: "inner" or "left". Both tables should be staged, as both are read twice.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.filter(F.col(count) > max(HOT_ROWS, total // HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    cold = table.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: as a lambda's argument it isn't copied into the lambdas inside."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
