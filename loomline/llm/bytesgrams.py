@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text taken at a time; one longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 
 _ONE = np.uint64(1)
 

@@ -18,9 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table goes to every executor only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 16 << 20
 
+#: Bytes of rows in an Arrow batch and rows in a batch of the Parquet reader, at most: texts can be long, and both are held in memory whole.
+ARROW_BYTES, READER_ROWS = 2 << 20, 512
+
 _left_behind: list[tuple[SparkSession, str]] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's batch sizes, where it has none of its own. They stay, as results are computed after the operators return."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,12 +9,10 @@ partitions of items that it is long enough to hold. Pairs found are verified on
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, free, placed, small, stage
+from .common import SPACES, bound, bound_batches, free, placed, small, stage
 
 WIDTH, PERCENT = 5, 80
 
@@ -24,11 +22,6 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once: as a lambda's argument it isn't copied into the lambdas inside."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _places(words: Column, width: int) -> Column:
     """0-based first words of the shingles of this width."""
     n = F.size(words)
@@ -36,11 +29,11 @@ def _places(words: Column, width: int) -> Column:
 
 
 def hashed_shingles(words: Column, width: int) -> Column:
-    return _bound(words, lambda w: F.array_distinct(F.transform(_places(w, width), lambda i: F.xxhash64(F.lit(width), *[F.get(w, i + k) for k in range(width)]))))
+    return bound(words, lambda w: F.array_distinct(F.transform(_places(w, width), lambda i: F.xxhash64(F.lit(width), *[F.get(w, i + k) for k in range(width)]))))
 
 
 def text_shingles(words: Column, width: int) -> Column:
-    return _bound(words, lambda w: F.array_distinct(F.transform(_places(w, width), lambda i: F.array_join(F.slice(w, i + 1, width), " "))))
+    return bound(words, lambda w: F.array_distinct(F.transform(_places(w, width), lambda i: F.array_join(F.slice(w, i + 1, width), " "))))
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -69,6 +62,7 @@ def sketches(items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
 
 def _found(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, _file, _row, item_id, n, n_shared) of the pairs that pass. docs lie in Parquet files."""
+    bound_batches(docs.sparkSession)
     known = sketches(items, width, percent)
     index = known.select("item_id", "width", "need", "size_class", F.explode("sketch").alias("hash"))
     index = small(index, 64)

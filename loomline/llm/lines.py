@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound, free, placed, small, spread_join, stage
+from .common import WORD, bound, bound_batches, free, placed, small, spread_join, stage
 
 #: Lines under the rolling hash, and one in how many values of it proposes a boundary.
 WINDOW, DIVISOR = 2, 2
@@ -97,6 +97,7 @@ def _left(every: Column, removed: Column) -> Column:
 
 def _decide(docs: DataFrame, digest: Callable[[Column], Column], window: int, divisor: int) -> tuple[DataFrame, DataFrame]:
     """(_file, _row, removed: the runs in order) of the texts that lose lines, and (_file, _row, n_chunks) of those with chunks."""
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
     short = F.transform(chunks(F.col("text"), window, divisor), lambda c: F.struct(c["pos"].alias("pos"), c["n_lines"].alias("n_lines"), digest(c["chunk"]).alias("digest")))
     known = stage(rows.select("doc_id", "_file", "_row", F.explode(short).alias("c")).select("doc_id", "_file", "_row", "c.*"), "chunks")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import small, stage
+from .common import bound_batches, small, stage
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -325,6 +325,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     as one document. Rows without an id link nothing; they take the component of their set's documents, if there are any.
     No rows give no rows. Other columns are not read. Sets are compared as sets of 64-bit hashes.
     """
+    bound_batches(docs.sparkSession)
     every = stage(signatures(docs, width), "signatures")
     classes = stage(every.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.max("n").alias("n")), "classes")
     # smaller sets are similar to no set but their equal

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import free
+from .common import bound_batches, free
 from .labelled import SAMPLE_ROWS, held_out, sample
 
 #: Hashed words, hashed shapes, and dimensions of a vector. Together they bound what is summed and broadcast.
@@ -29,6 +29,8 @@ WINDOW, PLACES = 2, 2
 SLICE = 1 << 9
 
 UNITS = WORDS + SHAPES
+#: Words whose neighbours are summed at a time.
+WORDS_AT_ONCE = 200_000
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +63,30 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of index vectors near each unit, over a task's texts, in slices of the vocabulary."""
     place, sign = _index_vectors()
-    total = None
+    total, held, n = None, [], 0
+
+    def add() -> None:
+        doc, word, shape = map(np.concatenate, zip(*held, strict=True))
+        for off in range(1, WINDOW + 1):
+            near = doc[off:] == doc[:-off]
+            for own, other in ((word, word), (word, shape), (shape, shape)):
+                for a, b in ((own[off:][near], other[:-off][near]), (own[:-off][near], other[off:][near])):
+                    for k in range(PLACES):
+                        total[:] += np.bincount(a * DIM + place[b, k], weights=sign[b, k], minlength=UNITS * DIM).reshape(UNITS, DIM)
+        held.clear()
+
+    texts = 0
     for batch in batches:
-        for _, _, data, offsets in bg.chunks(batch.column("text")):
-            doc, word, shape = units(data, offsets)
+        for a, b, data, offsets in bg.chunks(batch.column("text")):
             total = np.zeros((UNITS, DIM)) if total is None else total
-            for off in range(1, WINDOW + 1):
-                near = doc[off:] == doc[:-off]
-                for own, other in ((word, word), (word, shape), (shape, shape)):
-                    for a, b in ((own[off:][near], other[:-off][near]), (own[:-off][near], other[off:][near])):
-                        for k in range(PLACES):
-                            total += np.bincount(a * DIM + place[b, k], weights=sign[b, k], minlength=UNITS * DIM).reshape(UNITS, DIM)
+            doc, word, shape = units(data, offsets)
+            held.append((doc + texts, word, shape))
+            texts, n = texts + b - a, n + len(doc)
+            if n >= WORDS_AT_ONCE:
+                add()
+                n = 0
+    if held:
+        add()
     if total is not None:
         for s in range(0, UNITS, SLICE):
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([total[s : s + SLICE].astype(np.float32).tobytes()], pa.binary())], ["slice", "sums"])
@@ -172,6 +187,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
     """Word vectors from all texts, and the network from at most `rows` labelled ones, whose pooled vectors go to the driver."""
+    bound_batches(docs.sparkSession)
     vectors = word_vectors(docs)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import placed, small, stage
+from .common import ARROW_BYTES, bound_batches, placed, small, stage
 
 LENGTH, GRAM = 400, 128
 #: Occurrences of an anchor that one salt takes, and surroundings in a slice, about.
@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in bg.chunks(batch.column("text")):
+        for a, b, data, offsets in bg.chunks(batch.column("text"), ARROW_BYTES):
             at, _, _, doc = anchors(data, offsets)
             if len(at):
                 total, down = _sums(data)
@@ -101,7 +101,7 @@ def _surroundings(slices: int):
         for batch in batches:
             files, rows = batch.column("_file").to_numpy(), batch.column("_row").to_numpy()
             wanted, salts_of = batch.column("at"), batch.column("salts")
-            for a, b, data, offsets in bg.chunks(batch.column("text")):
+            for a, b, data, offsets in bg.chunks(batch.column("text"), ARROW_BYTES):
                 at, window, count, doc = anchors(data, offsets)
                 own = [np.asarray(wanted[a + d].values) + offsets[d] for d in range(b - a)]
                 salted = np.concatenate([np.asarray(salts_of[a + d].values) for d in range(b - a)])
@@ -206,6 +206,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     lose all. Ids may be null or repeated: rows are told apart by where they lie. No rows give no rows. Other columns are
     not read.
     """
+    bound_batches(docs.sparkSession)
     docs = docs if placed(docs) else stage(docs.select("doc_id", "text"), "rows")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sha = F.sha2(F.col("text").cast("binary"), 256)

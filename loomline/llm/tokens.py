@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import SPACES
+from .common import ARROW_BYTES, SPACES, bound_batches
 
 #: Bytes of text handed to the tokenizer at a time, and words whose counts a task remembers.
 BATCH_BYTES, REMEMBERED = 128 << 10, 400_000
@@ -47,7 +47,7 @@ def word_token_counts(tokenizer, held: list[bytes]) -> np.ndarray:
 def _by_words(tokenizer, column, known: dict[bytes, int]) -> list[int]:
     """Token counts of texts as sums over their words; known holds words met before."""
     counts: list[int] = []
-    for a, b, data, offsets in bg.chunks(column):
+    for a, b, data, offsets in bg.chunks(column, ARROW_BYTES):
         w = bg.words(data, offsets, lower=False)
         _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
         raw = data.tobytes()
@@ -104,6 +104,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     at cache_path (on storage that all executors see) is made if absent and is shared by all tokenizers.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     tokenizer_json = Path(tokenizer_path).read_text(encoding="utf-8")
     version = hashlib.sha256(tokenizer_json.encode()).hexdigest()[:32]
     text = F.coalesce(F.col("text"), F.lit(""))

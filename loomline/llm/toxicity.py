@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
+from .common import bound_batches
 from .labelled import SAMPLE_ROWS, held_out, sample
 
 #: Hashed terms; factors of each; learned rows that must hold a term; steps of the training at least.
@@ -120,6 +121,8 @@ def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 20, ba
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     """Learns on the driver from at most `rows` labelled texts; of each it gets the distinct hashed terms only."""
 
+    bound_batches(docs.sparkSession)
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in bg.chunks(batch.column("text")):

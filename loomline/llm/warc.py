@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, remove, small, stage
+from .common import bound_batches, new_path, remove, small, stage
 
 #: Records in a file, its first one included.
 FILE_RECORDS = 4096
@@ -259,6 +259,7 @@ def round_trip(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     once they are converted.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc, least_revisit)
