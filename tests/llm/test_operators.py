@@ -73,6 +73,32 @@ def test_exact_copies_compare_bytes_where_digests_agree(docs, texts):
     same(got(exact.exact_copies(docs, weak)), plain_copies(texts))
 
 
+@pytest.mark.parametrize("digest", [exact.sha256, lambda text: F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 2))])
+def test_exact_copies_of_a_second_batch_meet_the_first(spark, texts, digest):
+    state, parts = common.new_path(spark, "kept-state"), (texts[::2], texts[1::2], [(900, None), (1, "new"), (901, "new"), (902, "one")])
+    seen, sizes = {}, Counter()
+    for part in parts:
+        norms = [re.sub(r"[\x20\x09-\x0D]+", " ", x or "") for _, x in part]
+        sizes.update(norms)
+        first = {}
+        for (i, _), norm in sorted(zip(part, norms, strict=True), key=lambda r: (r[0][0] is None, r[0][0] or 0)):
+            first.setdefault(norm, i)
+        wanted = []
+        left = {norm for norm in first if norm not in seen}
+        for (i, _), norm in sorted(zip(part, norms, strict=True), key=lambda r: (r[0][0] is None, r[0][0] or 0)):
+            wanted.append({"doc_id": i, "keep_id": seen.get(norm, first[norm]), "group_size": sizes[norm], "kept": norm in left, "text_sha256": hashlib.sha256(norm.encode()).hexdigest()})
+            left.discard(norm)
+        seen = first | seen
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(2)
+        same(got(exact.exact_copies(df, digest, state_path=state)), wanted)
+
+
+def test_a_hot_text_is_joined_where_its_rows_lie(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "hot text").otherwise(F.concat(F.lit("x"), (F.col("id") % 700).cast("string"))).alias("text"))
+    texts = [tuple(r) for r in df.collect()]
+    same(got(exact.exact_copies(df)), plain_copies(texts))
+
+
 def test_without_copies_keeps_one_row_of_each_group(docs, none, texts):
     left = exact.without_copies(docs)
     assert left.columns == docs.columns
