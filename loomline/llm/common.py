@@ -107,16 +107,17 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 HOT_KEYS, HOT_ROWS = 1 << 16, 128
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner", row_bytes: int = 256) -> DataFrame:
     """rows joined with table, which has one row for each key and, in `count`, how many rows hold the key.
 
-    The rows of hot keys stay where they are: the table's rows for those, fewer than HOT_KEYS, go to every executor. The
-    other keys are shuffled. how: "inner" or "left". Both tables should be staged, as both are read twice.
+    A small table goes to every executor. Of a large one only the rows of hot keys do, fewer than HOT_KEYS, so that rows of
+    hot keys stay where they are; the other keys are shuffled. how: "inner" or "left". Both tables should be staged, as both
+    are read more than once.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    hot = table.filter(F.col(count) > max(HOT_ROWS, total // HOT_KEYS))
-    if hot.isEmpty():
-        return rows.join(table, on, how)
+    n, total = table.agg(F.count(F.lit(1)), F.sum(count)).first()
+    if n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), on, how)
+    hot = table.filter(F.col(count) > max(HOT_ROWS, (total or 0) // HOT_KEYS))
     cold = table.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
 

@@ -9,21 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free, small, stage
+from .common import WORD, free, placed, spread_join, stage
 
-#: Draws tried per source; the one whose sum comes nearest to the target is used. Each is a plain hash-seeded Bernoulli draw.
-SEEDS = 16
+#: Seed of the draws.
+SEED = 0
 
 
-def draw(doc_id: Column, seed: Column | int) -> Column:
+def draw(doc_id: Column, seed: int = SEED) -> Column:
     """Uniform in [0, 1) from the id and the seed: 52 bits of MD5. Rows without an id share one draw."""
-    seed = F.lit(seed) if isinstance(seed, int) else seed
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), seed.cast("string"))
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(2.0**52)
 
 
 def source_targets(sums: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
-    """(source, source_size) to (source, source_size, target).
+    """(source, source_size, n) to (source, source_size, n, target).
 
     Sources take the weights in turn, by code point with null last, and share the total. A target stops at `most` times
     its source's size; the rest is shared anew by weight until none is above. Ranks come from range partitions and their
@@ -37,7 +36,7 @@ def source_targets(sums: DataFrame, weights: tuple[float, ...], most: float) ->
     rank = F.col("offset") + F.row_number().over(in_part) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     ranked = stage(
-        ranged.join(F.broadcast(offsets), "part").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")),
+        ranged.join(F.broadcast(offsets), "part").select("source", "source_size", "n", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")),
         "ranked",
     )
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -51,31 +50,32 @@ def source_targets(sums: DataFrame, weights: tuple[float, ...], most: float) ->
             break
         n_capped, level = n, (total - capped, open_weight)
         share = F.col("weight") * F.lit(float(level[0])) / F.lit(float(level[1]))
-    return ranked.select("source", "source_size", F.least(share, F.col("cap")).alias("target"))
+    return ranked.select("source", "source_size", "n", F.least(share, F.col("cap")).alias("target"))
 
 
-def mixing_rates(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seeds: int = SEEDS) -> DataFrame:
-    """(doc_id, source, size) to one row per source: source_size, target, whole (sure copies), fraction, seed."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+def mixing_rates(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
+    """(source, size) to one row per source: source, source_size, n (rows), target, whole (sure copies), fraction (chance of one more)."""
+    sums = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sums")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    rates = stage(
-        source_targets(sums, weights, most).withColumn("rate", rate).select("source", "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("fraction")),
-        "rates",
-    )
-    joined = sized.alias("d").join(small(rates, 64).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-    tries = [F.sum(F.when(draw(F.col("doc_id"), k) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(seeds)]
-    tried = joined.groupBy("r.source").agg(*tries)
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds)]))
-    picked = rates.alias("r").join(tried.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    return stage(picked.select("r.source", "source_size", "target", "whole", "fraction", nearest["seed"].alias("seed")), "picked")
+    targets = source_targets(sums, weights, most).withColumn("rate", rate)
+    return stage(targets.select("source", "source_size", "n", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("fraction")), "rates")
+
+
+def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """rows and, in _rate, what their source has in rates; null is a source of its own."""
+    of, none, rate = (free(c, rows.columns) for c in ("_of", "_none", "_rate"))
+    key = lambda c: (F.coalesce(c.cast("string"), F.lit("")).alias(of), c.isNull().alias(none))
+    own = rates.select(*key(F.col("source")), F.col("n").alias(free("_n", rows.columns)), F.struct("source_size", "target", "whole", "fraction").alias(rate))
+    joined = spread_join(rows.select("*", *key(F.col("source"))), own, [of, none], own.columns[2])
+    return joined.select(*rows.columns, F.col(rate).alias(rate))
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _copies() -> Column:
-    return F.col("whole") + F.when(draw(F.col("doc_id"), F.col("seed")) < F.col("fraction"), 1).otherwise(0)
+def _copies(rate: Column) -> Column:
+    return rate["whole"] + F.when(draw(F.col("doc_id")) < rate["fraction"], 1).otherwise(0)
 
 
 def mixture_report(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
@@ -83,23 +83,29 @@ def mixture_report(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
 
     Null text has size 0; null sources form one source; a null id draws as the empty id; repeated rows are rows of their
     own and draw alike. A source whose sizes sum to 0 has target 0. No rows give no rows. Other columns are not read.
+
+    The copies by chance are independent, so a source's taken words have the target as their mean and deviate from it by
+    sqrt(f (1 - f) * sum of size^2), f being the rate's fraction: by one part in sqrt(rows) or so, more where few long
+    documents make up a source, and a source of one document takes it whole or not at all.
     """
     sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    rates = mixing_rates(sized, weights, most)
-    joined = sized.alias("d").join(small(rates, 64).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    joined = _with_rates(sized, mixing_rates(sized, weights, most))
+    rate = F.col(joined.columns[-1])
+    return joined.select("doc_id", "size", rate["source_size"].alias("source_size"), rate["target"].alias("target"), (F.col("size") * _copies(rate)).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
     """docs' own columns, each row as often as the mixture takes it, with the number of the copy as mix_copy (from 1).
 
-    Rates are joined to the documents by broadcast while sources are few; texts are not shuffled then.
+    Rules as in mixture_report: null and empty texts have size 0 and follow their source's rate, null sources form one, a
+    null id draws as the empty id, repeated rows draw alike, no rows give no rows. Columns of any name are carried along; if
+    mix_copy is taken, the number's name gets underscores. Rates are joined by broadcast, of sources too many for that only
+    the large ones', so no source's texts meet in one task.
     """
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    rates = mixing_rates(sized, weights, most)
-    joined = docs.alias("d").join(small(rates, 64).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-    copies = F.col("r.whole") + F.when(draw(F.col("d.doc_id"), F.col("r.seed")) < F.col("r.fraction"), 1).otherwise(0)
-    return joined.filter(copies > 0).select("d.*", F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))).alias(free("mix_copy", docs.columns)))
+    docs = docs if placed(docs) else stage(docs, "docs")
+    joined = _with_rates(docs, mixing_rates(docs.select("source", word_count(F.col("text")).alias("size")), weights, most))
+    copies = _copies(F.col(joined.columns[-1]))
+    return joined.filter(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))).alias(free("mix_copy", docs.columns)))
 
 
 ORACLE = r"""
@@ -122,18 +128,10 @@ targets as (
 rates as (
   select *, case when source_size > 0 then least(target / source_size, 3.0::double) else 0.0::double end as rate from targets),
 parts as (select *, floor(rate)::bigint as whole, rate - floor(rate) as fraction from rates),
-draws as (
-  select d.doc_id, d.source, d.size, k as seed,
-    ('0x' || substr(md5(coalesce(d.doc_id::varchar, '') || ':' || k::varchar), 1, 13))::bigint / 4503599627370496.0::double as u
-  from sized d, range(16) t(k)),
-tried as (
-  select p.source, d.seed, any_value(p.whole) * any_value(p.source_size) + sum(case when d.u < p.fraction then d.size else 0 end) as took, any_value(p.target) as target
-  from draws d join parts p on d.source is not distinct from p.source group by p.source, d.seed),
-picked as (select source, arg_min(seed, (abs(took - target), seed)) as seed from tried group by source)
+draws as (select distinct doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':0'), 1, 13))::bigint / 4503599627370496.0::double as u from sized)
 select d.doc_id, d.size, p.source_size, p.target,
   (d.size * (p.whole + case when r.u < p.fraction then 1 else 0 end))::bigint as taken
 from sized d
 join parts p on d.source is not distinct from p.source
-join picked c on d.source is not distinct from c.source
-join (select distinct doc_id, seed, u from draws) r on r.doc_id is not distinct from d.doc_id and r.seed = c.seed
+join draws r on r.doc_id is not distinct from d.doc_id
 """
