@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import ARROW_BYTES, SPACES, bound_batches
+from .common import ARROW_BYTES, SPACES, bound_batches, placed, small, spread_join, stage
 
 #: Bytes of text handed to the tokenizer at a time, and words whose counts a task remembers.
 BATCH_BYTES, REMEMBERED = 128 << 10, 400_000
@@ -110,18 +110,23 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     text = F.coalesce(F.col("text"), F.lit(""))
     by_words = drops_white_space(tokenizer_json)
     norm: Column = F.regexp_replace(text, SPACES, " ") if by_words else text
-    keyed = docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"), norm.alias("norm"))
+    docs = docs if placed(docs) else stage(docs.select("doc_id", "text"), "rows")
+    place = F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row")
+    keyed = stage(docs.select("doc_id", *place, F.octet_length(text).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest")), "digests")
+    held = stage(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_file", "_row")).alias("first")), "distinct")
     schema = "digest binary, n_tokens bigint, tokenizer string"
 
     def cached() -> DataFrame:
         return spark.read.schema(schema).parquet(cache_path).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
 
-    misses = keyed.select("digest", "norm").dropDuplicates(["digest"])
+    misses = held
     if _exists(docs, cache_path):
-        misses = misses.join(cached(), "digest", "left_anti")
-    found = misses.mapInArrow(_encoder(tokenizer_json, by_words), "digest binary, n_tokens bigint")
+        misses = stage(misses.join(cached(), "digest", "left_anti"), "misses")
+    # one row of each missing digest is read again; texts are shuffled only if such rows are too many to be sent about
+    wanted = small(misses.select("digest", "first._file", "first._row"), 64)
+    found = docs.select(*place, norm.alias("norm")).join(wanted, ["_file", "_row"]).select("digest", "norm").mapInArrow(_encoder(tokenizer_json, by_words), "digest binary, n_tokens bigint")
     found.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     if not _exists(docs, f"{cache_path}/tokenizer={version}"):  # no text at all
         return keyed.select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(False).alias("over_limit"))
-    counts = cached().dropDuplicates(["digest"])
-    return keyed.drop("norm").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = stage(held.select("digest", "n").join(cached().dropDuplicates(["digest"]), "digest"), "counts")
+    return spread_join(keyed, counts, ["digest"], "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
