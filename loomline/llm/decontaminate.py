@@ -3,8 +3,10 @@
 An item is contained in a document when the document holds at least `percent` of the item's distinct word shingles. Of an
 item with n shingles at most n - need can be absent, so of its n - need + 1 smallest hashes (its bottom-k MinHash sketch,
 k fixed by its size) a document that contains it holds at least one: looking the sketches' hashes up in the documents
-loses nothing, however long the document is. Items are partitioned by size, and a document is matched only with the
-partitions of items that it is long enough to hold. Pairs found are verified on the shingles themselves.
+loses nothing, however long the document is. Items are partitioned by size (powers of two of what they need). Sketches
+are the smallest fifth of an item's hashes, so the largest hash of a partition's sketches lies low where items are long. A
+document is looked up only in the partitions that it is long enough for, and only with its hashes up to the largest there:
+the others are dropped before they become rows. Pairs found are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -60,22 +62,31 @@ def sketches(items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     return stage(found.select("item_id", "width", "shingles", "n", "need", "size_class", F.slice("hashes", F.lit(1), F.col("n") - F.col("need") + 1).alias("sketch")), "sketches")
 
 
+def _largest(held: Column, parts: list) -> Column:
+    """The largest sketch hash in the size partitions that a text with so many shingles is long enough for."""
+    open_ = [F.when(held >= p["need"], F.lit(p["largest"])) for p in parts]
+    return F.greatest(*open_, F.lit(None).cast("bigint")) if len(open_) == 1 else F.greatest(*open_)
+
+
 def _found(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, _file, _row, item_id, n, n_shared) of the pairs that pass. docs lie in Parquet files."""
     bound_batches(docs.sparkSession)
     known = sketches(items, width, percent)
-    index = known.select("item_id", "width", "need", "size_class", F.explode("sketch").alias("hash"))
+    index = known.select("item_id", "width", "need", F.explode("sketch").alias("hash"))
     index = small(index, 64)
-    widths = sorted(r[0] for r in known.select("width").distinct().collect())
+    # a row for each width and size class: 160 at most
+    parts = known.groupBy("width", "size_class").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("largest")).collect()
+    widths = sorted({p["width"] for p in parts})
     file_id = F.xxhash64(F.col("_metadata.file_path")).alias("_file")
     rows = docs.select("doc_id", file_id, F.col("_metadata.row_index").alias("_row"), "text")
     pairs = None
     for w in widths:
-        hashed = rows.select("_file", "_row", hashed_shingles(word_array(F.col("text")), w).alias("hashes"))
+        # the size, and the hashes that any partition the text is long enough for can hold
+        probe = lambda h: F.struct(F.size(h).alias("held"), F.filter(h, lambda x: x <= _largest(F.size(h), [p for p in parts if p["width"] == w])).alias("hashes"))  # noqa: B023, E731
+        hashed = rows.select("_file", "_row", bound(hashed_shingles(word_array(F.col("text")), w), probe).alias("p"))
         # the outer form spares a filter that would compute the hashes twice; its null row meets nothing in the join
-        probes = hashed.select("_file", "_row", F.size("hashes").alias("held"), F.explode_outer("hashes").alias("hash"))
-        hits = probes.join(index.filter(F.col("width") == w), "hash")
-        hits = hits.filter((F.col("size_class") <= _size_class(F.col("held"))) & (F.col("need") <= F.col("held"))).select("_file", "_row", "item_id", "width")
+        probes = hashed.select("_file", "_row", "p.held", F.explode_outer("p.hashes").alias("hash"))
+        hits = probes.join(index.filter(F.col("width") == w), "hash").filter("need <= held").select("_file", "_row", "item_id", "width")
         pairs = hits if pairs is None else pairs.unionByName(hits)
     if pairs is None:
         return rows.select("doc_id", "_file", "_row", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n"), F.lit(0).alias("n_shared")).limit(0)
@@ -101,7 +112,11 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs' own columns, without the rows that contain an item."""
+    """docs' own columns, without the rows that contain an item.
+
+    Null and empty texts and rows with null ids contain what contaminated() says: nothing, or what their text holds. Repeated
+    rows stay or go together; without items all rows stay, and an empty table stays empty. Columns of any name are carried along.
+    """
     docs = docs if placed(docs) else stage(docs, "docs")
     gone = stage(_found(docs, items, width, percent).select("_file", "_row").distinct(), "gone")
     file, row = free("_file", docs.columns), free("_row", docs.columns)
