@@ -1,27 +1,76 @@
 """Dependency graphs as edge tables: degrees, ends, strong components, cycles, closures, levels and paths.
 
-edges(project, src, dst, weight). Loops over a graph cut their lineage with checkpoints in the folder that the executors
-share; only counts reach the driver.
+edges(project, src, dst, weight). Loops over a graph write their rounds to the folder that the executors share and delete
+them when they are no longer read; only counts reach the driver.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsmath import divided
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder; only a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        got = context._jsc.sc().getCheckpointDir()
+        folder = got.get() if got.isDefined() else None
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-graph-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="loomline-graph-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+_all_rounds: list[Rounds] = []
+
+
+class Rounds:
+    """Tables that a loop writes and reads again. Each is deleted once it is dropped, the rest when the interpreter ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at, self.paths = spark, f"{_shared(spark)}/loomline-{uuid.uuid4().hex}", {}
+        if not _all_rounds:
+            atexit.register(_clean)
+        _all_rounds.append(self)
+
+    def keep(self, df: DataFrame, *old: DataFrame | None) -> DataFrame:
+        """df, written and read back; the old tables go."""
+        path = f"{self.at}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        for o in old:
+            self.drop(o)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, df: DataFrame | None) -> None:
+        if df is not None and id(df) in self.paths:
+            _delete(self.spark, self.paths.pop(id(df))[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clean() -> None:
+    for r in _all_rounds:
+        if r.spark.sparkContext._jsc is not None:
+            try:
+                _delete(r.spark, r.at)
+            except Exception as gone:  # the session may have ended before
+                print(f"left behind: {r.at} ({type(gone).__name__})")
 
 
 def build(edges: DataFrame) -> DataFrame:
@@ -59,35 +108,41 @@ def graph_stats(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("bigint").alias("edges"), (F.sum("degree").cast("double") / F.count(F.lit(1)) / 2).alias("average_degree"),
         F.max("degree").alias("max_degree"), F.count_if(F.col("in_degree") == 0).alias("entry_points"), F.count_if(F.col("out_degree") == 0).alias("leaf_nodes"),
     )
-    top = d.join(per.select("project", "max_degree"), "project").filter("degree = max_degree").groupBy("project").agg(F.count(F.lit(1)).alias("most_connected"))
+    top = most_connected(d).groupBy("project").agg(F.count(F.lit(1)).alias("most_connected"))
     return per.join(top, "project")
 
 
-def reach(edges: DataFrame, from_: str = "src", to: str = "dst") -> DataFrame:
-    """All (project, src, dst) joined by a path of one edge or more, by doubling: as many rounds as the longest shortest path has bits."""
-    pairs = cut(edges.select("project", F.col(from_).alias("src"), F.col(to).alias("dst")).distinct())
-    n = pairs.count()
-    while True:
-        left, right = pairs.alias("l"), pairs.alias("r")
-        joined = left.join(right, (F.col("l.project") == F.col("r.project")) & (F.col("l.dst") == F.col("r.src")))
-        pairs = cut(pairs.unionByName(joined.select("l.project", "l.src", "r.dst")).distinct())
-        now = pairs.count()
-        if now == n:
-            return pairs
-        n = now
+def most_connected(found: DataFrame) -> DataFrame:
+    """Of degrees(), the nodes of each project that have its largest degree."""
+    largest = found.groupBy("project").agg(F.max("degree").alias("max_degree"))
+    return found.join(largest, "project").filter("degree = max_degree").select("project", "node", "degree")
+
+
+#: Fronts of a search that are read one by one before they are written as one table.
+FRONTS = 16
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _frontier(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(project, node, depth) by breadth: start(project, node) has depth 0."""
-    seen = cut(start.select("project", "node").distinct().withColumn("depth", F.lit(0)))
-    edge, front, depth = edges.select("project", F.col("src").alias("node"), "dst").distinct(), seen, 0
+    """(project, node, depth) by breadth: start(project, node) has depth 0. A round writes what it finds, and nothing else but every FRONTS rounds."""
+    rounds = Rounds(edges.sparkSession)
+    edge = rounds.keep(edges.select("project", F.col("src").alias("node"), "dst").distinct())
+    front = rounds.keep(start.select("project", "node").distinct().withColumn("depth", F.lit(0)))
+    seen, depth = [front], 0
     while True:
         depth += 1
-        new = front.join(edge, ["project", "node"]).select("project", F.col("dst").alias("node")).distinct().join(seen.select("project", "node"), ["project", "node"], "left_anti")
-        front = cut(new.withColumn("depth", F.lit(depth)))
+        new = front.join(edge, ["project", "node"]).select("project", F.col("dst").alias("node")).distinct()
+        for part in seen:
+            new = new.join(part.select("project", "node"), ["project", "node"], "left_anti")
+        front = rounds.keep(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
+            return _union(seen)
+        seen.append(front)
+        if len(seen) > FRONTS:
+            seen = [rounds.keep(_union(seen), *seen[:-1])]
 
 
 def transitive_dependencies(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -105,59 +160,104 @@ def node_depths(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return _frontier(edges, entry_points(edges, files))
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that may lie on a cycle: ends without a way in or out are peeled off, round by round."""
-    left = cut(edges.filter("src <> dst").select("project", "src", "dst").distinct())
-    n = left.count()
-    while n:
-        ins, outs = left.select("project", F.col("dst").alias("src")).distinct(), left.select("project", F.col("src").alias("dst")).distinct()
-        left = cut(left.join(ins, ["project", "src"], "left_semi").join(outs, ["project", "dst"], "left_semi").select("project", "src", "dst"))
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    return left
-
+def _without_ends(left: DataFrame) -> DataFrame:
+    """Edges whose source has a way in and whose target has a way out; the others are on no cycle."""
+    ins, outs = left.select("project", F.col("dst").alias("src")).distinct(), left.select("project", F.col("src").alias("dst")).distinct()
+    return left.join(ins, ["project", "src"], "left_semi").join(outs, ["project", "dst"], "left_semi").select("project", "src", "dst")
 
-#: Edges on possible cycles up to which the closure is built; it takes few rounds, but grows with the square of a component.
-CLOSURE_EDGES = 20_000
 
+def _passages(rounds: Rounds, left: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Nodes with one way in and one way out lie on passages: (project, node, before, after, least).
 
-def strong_components(edges: DataFrame, closure_edges: int = CLOSURE_EDGES) -> DataFrame:
+    before and after are the nodes at the passage's ends; a closed ring has none, and least is its smallest node. Ends are
+    found by pointer jumping, in as many rounds as the longest passage has bits. The second table is the graph in which each
+    passage is one edge. (None, None) if there is no such node.
+    """
+    into = left.groupBy("project", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("before"))
+    out = left.groupBy("project", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("after"))
+    inner = rounds.keep(into.join(out, ["project", "node"]).filter("i = 1 and o = 1").select("project", "node", "before", "after", F.col("node").alias("least")))
+    n, span = inner.count(), 1
+    if not n:
+        return None, None
+    jumps = inner
+    while span <= n:
+        ahead = jumps.select("project", F.col("node").alias("after"), F.col("after").alias("after2"), F.col("least").alias("least2"))
+        back = jumps.select("project", F.col("node").alias("before"), F.col("before").alias("before2"))
+        moved = jumps.join(ahead, ["project", "after"], "left").join(back, ["project", "before"], "left")
+        new = moved.select("project", "node", F.coalesce("before2", "before").alias("before"), F.coalesce("after2", "after").alias("after"), F.least("least", "least2").alias("least"), F.col("after2").isNotNull().alias("on"))
+        new = rounds.keep(new, None if jumps is inner else jumps)
+        span *= 2
+        more = not new.filter("on").isEmpty()
+        jumps = new
+        if not more:
+            break
+    own = inner.select("project", "node")
+    # what still points at a node of a passage goes round in a ring
+    ring = jumps.join(own.withColumnRenamed("node", "after"), ["project", "after"], "left_semi").select("project", "node").withColumn("ring", F.lit(True))
+    none = F.lit(None).cast("string")
+    ends = jumps.join(ring, ["project", "node"], "left")
+    ends = rounds.keep(ends.select("project", "node", F.when(F.col("ring"), none).otherwise(F.col("before")).alias("before"), F.when(F.col("ring"), none).otherwise(F.col("after")).alias("after"), "least"), jumps)
+    outer = left.join(own.withColumnRenamed("node", "src"), ["project", "src"], "left_anti").join(own.withColumnRenamed("node", "dst"), ["project", "dst"], "left_anti")
+    short = ends.filter("before is not null and before <> after").select("project", F.col("before").alias("src"), F.col("after").alias("dst"))
+    return ends, rounds.keep(outer.select("project", "src", "dst").union(short).distinct(), inner)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
     """(project, node, component) of components with more than one node; the component is its smallest node. Edges to oneself do not count.
 
-    Few edges are closed by doubling. More of them are coloured, in space that is linear in the edges.
+    Ends that lie on no cycle are cut off and passages are made one edge, in turn, until nothing changes; what is left is
+    coloured. So chains and rings of any length take few rounds, and space is linear in the edges.
     """
-    inner = trimmed(edges)
-    if inner.count() > closure_edges:
-        return _coloured(inner)
-    pairs = reach(inner)
-    mutual = pairs.alias("a").join(pairs.alias("b"), (F.col("a.project") == F.col("b.project")) & (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
-    found = mutual.groupBy(F.col("a.project").alias("project"), F.col("a.src").alias("node")).agg(F.min("a.dst").alias("least"))
-    return found.select("project", "node", F.least("least", "node").alias("component"))
-
-
-def _coloured(left: DataFrame) -> DataFrame:
+    rounds = Rounds(edges.sparkSession)
+    left = rounds.keep(edges.filter("src <> dst").select("project", "src", "dst").distinct())
+    levels, n = [], left.count()
+    while n:
+        left = rounds.keep(_without_ends(left), left)
+        ends, short = _passages(rounds, left)
+        if ends is not None:
+            levels.append(ends)
+            rounds.drop(left)
+            left = short
+        now = left.count()
+        if now == n:
+            break
+        n = now
+    known = _coloured(rounds, left)
+    for ends in reversed(levels):
+        of = lambda name, end: known.select("project", F.col("node").alias(end), F.col("component").alias(name))  # noqa: B023, E731
+        both = ends.join(of("c1", "before"), ["project", "before"], "left").join(of("c2", "after"), ["project", "after"], "left")
+        one, two = F.coalesce("c1", "before"), F.coalesce("c2", "after")
+        inside = both.filter(F.col("before").isNull() | (one == two)).select("project", "node", F.coalesce(one, "least").alias("component"), "before")
+        # an end that was alone until now belongs to what leads back to it
+        alone = inside.filter("before = component").select("project", F.col("before").alias("node"), "component").distinct()
+        known = rounds.keep(known.unionByName(inside.drop("before")).unionByName(alone).distinct(), known)
+    named = known.groupBy("project", "component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return known.join(named, ["project", "component"]).select("project", "node", F.col("least").alias("component"))
+
+
+def _coloured(rounds: Rounds, left: DataFrame) -> DataFrame:
     """Every node takes the smallest node that reaches it as its colour. What reaches a colour's root within the colour is the root's component; it is taken out, and the rest goes on."""
-    out = nodes(left).withColumn("component", F.col("node")).limit(0)
+    found = []
     while not left.isEmpty():
-        colour = cut(nodes(left).withColumn("colour", F.col("node")))
+        colour = rounds.keep(nodes(left).withColumn("colour", F.col("node")).withColumn("less", F.lit(True)))
         while True:
-            offered = left.join(colour.withColumnRenamed("node", "src"), ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
-            moved = colour.join(offered, ["project", "node"], "left").withColumn("less", F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)))
-            moved = cut(moved.select("project", "node", F.when(F.col("less"), F.col("offer")).otherwise(F.col("colour")).alias("colour"), "less"))
-            colour = moved.drop("less")
-            if moved.filter("less").isEmpty():
+            # only nodes whose colour has changed offer it on
+            offered = left.join(colour.filter("less").select("project", F.col("node").alias("src"), "colour"), ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+            less = F.coalesce(F.col("offer") < F.col("colour"), F.lit(False))
+            moved = colour.join(offered, ["project", "node"], "left").select("project", "node", F.when(less, F.col("offer")).otherwise(F.col("colour")).alias("colour"), less.alias("less"))
+            colour = rounds.keep(moved, colour)
+            if colour.filter("less").isEmpty():
                 break
-        inside = left.join(colour.toDF("project", "src", "c1"), ["project", "src"]).join(colour.toDF("project", "dst", "c2"), ["project", "dst"]).filter("c1 = c2")
+        of = lambda end, name: colour.select("project", F.col("node").alias(end), F.col("colour").alias(name))  # noqa: B023, E731
+        inside = left.join(of("src", "c1"), ["project", "src"]).join(of("dst", "c2"), ["project", "dst"]).filter("c1 = c2")
         roots = colour.filter("node = colour").select("project", "node")
         own = _frontier(inside.select("project", F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("project", "node")
-        members = cut(own.join(colour, ["project", "node"]).withColumnRenamed("colour", "component"))
-        several = members.groupBy("project", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        out = cut(out.unionByName(members.join(several, ["project", "component"]).select(*out.columns)))
+        members = rounds.keep(own.join(colour, ["project", "node"]).select("project", "node", F.col("colour").alias("component")), colour)
+        found.append(members)
         rest = left.join(members.select("project", F.col("node").alias("src")), ["project", "src"], "left_anti").join(members.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_anti")
-        left = trimmed(rest)
-    return out
+        left = rounds.keep(_without_ends(rest.select("project", "src", "dst")), left)
+    empty = nodes(left).withColumn("component", F.col("node"))
+    return rounds.keep(_union(found) if found else empty)
 
 
 def cycle_severity(length: Column, affected: Column) -> Column:
@@ -168,7 +268,7 @@ def cycle_severity(length: Column, affected: Column) -> Column:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """One row per strong component: members in order, length, edges into it from outside (affected), severity."""
-    own = cut(strong_components(edges))
+    own = strong_components(edges)
     graph = build(edges)
     dst = own.select("project", F.col("node").alias("dst"), F.col("component").alias("c"))
     src = own.select("project", F.col("node").alias("src"), F.col("component").alias("s"))
@@ -199,7 +299,12 @@ def top_cycles(found: DataFrame, most: int = 20) -> DataFrame:
     return found.withColumn("seq", order).filter(F.col("seq") <= most)
 
 
-# What is said wherever there are cycles, and where there are none.
+# What is said of cycles by their severity, number and length, wherever there are any, and where there are none.
+CRITICAL_CYCLES = " critical cycle(s) found. These should be addressed immediately as they can cause unpredictable behavior."
+HIGH_CYCLES = " high-severity cycle(s) need attention. Consider refactoring these modules."
+MANY_CYCLES = "Multiple cycles detected. Consider a broader architectural review to identify design issues."
+SHORT_CYCLES = "Two-node cycles often indicate modules that should be merged or have a common dependency extracted."
+LONG_CYCLES = "Larger cycles (4+ modules) suggest a need for dependency injection or event-based communication."
 CYCLE_TIPS = (
     "General tips for breaking cycles:", "- Extract shared code into a separate utility module", "- Use dependency injection to invert dependencies", "- Implement interfaces/protocols to decouple modules",
     "- Consider using an event bus for cross-module communication", "- Apply the Dependency Inversion Principle",
@@ -213,29 +318,38 @@ def cycle_recommendations(found: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "critical").alias("c"), F.count_if(F.col("severity") == "high").alias("h"), F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.min("length").alias("shortest"))
     number = lambda c: F.col(c).cast("string")
     advice = F.array_compact(F.array(
-        F.when(F.col("c") > 0, F.concat(F.lit("URGENT: "), number("c"), F.lit(" critical cycle(s) found. These should be addressed immediately as they can cause unpredictable behavior."))),
-        F.when(F.col("h") > 0, F.concat(number("h"), F.lit(" high-severity cycle(s) need attention. Consider refactoring these modules."))),
-        F.when(F.col("n") > 5, F.lit("Multiple cycles detected. Consider a broader architectural review to identify design issues.")),
-        F.when(F.col("shortest") == 2, F.lit("Two-node cycles often indicate modules that should be merged or have a common dependency extracted.")),
-        F.when(F.col("longest") >= 4, F.lit("Larger cycles (4+ modules) suggest a need for dependency injection or event-based communication.")), *[F.lit(t) for t in CYCLE_TIPS],
+        F.when(F.col("c") > 0, F.concat(F.lit("URGENT: "), number("c"), F.lit(CRITICAL_CYCLES))),
+        F.when(F.col("h") > 0, F.concat(number("h"), F.lit(HIGH_CYCLES))),
+        F.when(F.col("n") > 5, F.lit(MANY_CYCLES)),
+        F.when(F.col("shortest") == 2, F.lit(SHORT_CYCLES)),
+        F.when(F.col("longest") >= 4, F.lit(LONG_CYCLES)), *[F.lit(t) for t in CYCLE_TIPS],
     ))
     return per.select("project", advice.alias("recommendations"))
 
 
 def topological_levels(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(project, node, level): every edge runs to a higher level. Nodes on a cycle, or behind one, have no level and are left out."""
-    graph = cut(edges.select("project", "src", "dst").distinct())
-    left, out, level = cut(nodes(edges, files)), None, 0
-    while not left.isEmpty():
-        free = cut(left.join(graph.select("project", F.col("dst").alias("node")).distinct(), ["project", "node"], "left_anti"))
-        if free.isEmpty():
-            break
-        now = free.withColumn("level", F.lit(level))
-        out = cut(now if out is None else out.unionByName(now))
-        left = cut(left.join(free, ["project", "node"], "left_anti"))
-        graph = cut(graph.join(free.select("project", F.col("node").alias("src")), ["project", "src"], "left_anti").select("project", "src", "dst"))
+    """(project, node, level): every edge runs to a higher level. Nodes on a cycle, or behind one, have no level and are left out.
+
+    A round writes the nodes of its level and how many ways into later nodes they open; nothing else is written again.
+    """
+    rounds = Rounds(edges.sparkSession)
+    graph = rounds.keep(edges.select("project", "src", "dst").distinct())
+    ways = rounds.keep(graph.groupBy("project", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ways")))
+    front = rounds.keep(entry_points(edges, files).select("project", "node").withColumn("level", F.lit(0)))
+    levels, opened, level = [front], [], 0
+    while not front.isEmpty():
         level += 1
-    return nodes(edges, files).withColumn("level", F.lit(0)).limit(0) if out is None else out
+        now = front.join(graph.withColumnRenamed("src", "node"), ["project", "node"]).groupBy("project", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ways"))
+        now = rounds.keep(now)
+        opened.append(now)
+        if len(opened) > FRONTS:
+            opened = [rounds.keep(_union(opened).groupBy("project", "node").agg(F.sum("ways").alias("ways")), *opened[:-1])]
+        so_far = _union(opened).join(now.select("project", "node"), ["project", "node"], "left_semi").groupBy("project", "node").agg(F.sum("ways").alias("open"))
+        front = rounds.keep(so_far.join(ways, ["project", "node"]).filter("open = ways").select("project", "node", F.lit(level).alias("level")))
+        levels.append(front)
+        if len(levels) > FRONTS:
+            levels = [rounds.keep(_union(levels[:-1]), *levels[:-1]), front]
+    return _union(levels)
 
 
 def is_acyclic(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -244,23 +358,28 @@ def is_acyclic(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return nodes(edges, files).join(levels, ["project", "node"], "left").groupBy("project").agg(F.bool_and(F.col("level").isNotNull()).alias("is_dag"))
 
 
-def all_paths(edges: DataFrame, start: str, end: str, most: int = 10, max_length: int = 20) -> DataFrame:
-    """Up to `most` paths without repeated nodes per project, shortest and then smallest first; from a node to itself there is the trivial one."""
-    graph = build(edges).select("project", "src", "dst")
+def all_paths(edges: DataFrame, start: str, end: str, most: int = 10) -> DataFrame:
+    """Up to `most` paths without repeated nodes per project, shortest and then smallest first; from a node to itself there is the trivial one.
+
+    Paths grow by a step a round, through nodes that lead to the end only; a project is done once it has enough.
+    """
     if start == end:
         return nodes(edges).filter(F.col("node") == start).select("project", F.array("node").alias("path"))
-    front = cut(nodes(edges).filter(F.col("node") == start).select("project", F.array("node").alias("path")))
-    found = front.limit(0)
-    for _ in range(max_length):
+    rounds = Rounds(edges.sparkSession)
+    ends = nodes(edges).filter(F.col("node") == end)
+    leads = rounds.keep(reverse_dependencies(edges, ends).select("project", F.col("node").alias("dst")).union(ends))
+    graph = rounds.keep(build(edges).filter("src <> dst").join(leads, ["project", "dst"], "left_semi").select("project", "src", "dst"))
+    front = rounds.keep(nodes(edges).filter(F.col("node") == start).select("project", F.array("node").alias("path")))
+    found, order = front.limit(0), F.row_number().over(Window.partitionBy("project").orderBy(F.size("path"), "path"))
+    while True:
         grown = front.withColumn("src", F.element_at("path", -1)).join(graph, ["project", "src"]).filter(~F.array_contains("path", F.col("dst")))
-        grown = cut(grown.select("project", F.array_append("path", F.col("dst")).alias("path")))
+        grown = rounds.keep(grown.select("project", F.array_append("path", F.col("dst")).alias("path")), front)
         if grown.isEmpty():
-            break
+            return found
         done = F.element_at("path", -1) == end
-        found = found.unionByName(grown.filter(done))
-        front = grown.filter(~done)
-    order = F.row_number().over(Window.partitionBy("project").orderBy(F.size("path"), "path"))
-    return found.withColumn("rank", order).filter(F.col("rank") <= most).drop("rank")
+        found = rounds.keep(found.unionByName(grown.filter(done)).withColumn("rank", order).filter(F.col("rank") <= most).drop("rank"), found)
+        enough = found.groupBy("project").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).select("project")
+        front = rounds.keep(grown.filter(~done).join(enough, "project", "left_anti"), grown)
 
 
 def instability(ca: Column, ce: Column) -> Column:

@@ -108,11 +108,50 @@ def test_graph(spark):
     assert render.dot([], []).startswith("digraph G {\n  empty") and '"source": "a"' in render.graph_json(["a", "b"], [("a", "b", 1)])
 
 
-def test_both_ways_to_components_agree(spark):
-    rng = random.Random(4)
-    g = edges(spark, *{(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(55)}, ("n98", "n99"), ("n99", "n98"))
-    rows = lambda limit: {(r["node"], r["component"]) for r in graph.strong_components(g, limit).collect()}
-    assert rows(0) == rows(10**6) and ("n99", "n98") in rows(0)
+def plain_components(pairs):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+
+    def reached(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        return seen
+
+    far = {a: reached(a) for a in out}
+    return {(a, min(x for x in far[a] if a in far[x])) for a in out if any(a in far[x] for x in far[a] - {a})}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_of_odd_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range((30, 45, 60, 90)[seed])}
+    chain = [f"c{k:02d}" for k in range(20)]
+    pairs |= {("n98", "n99"), ("n99", "n98"), ("s", "s"), *zip(chain, chain[1:], strict=False), ("n01", "c00"), ("c19", "n02")}
+    pairs |= {(f"r{k}", f"r{(k + 1) % 9}") for k in range(9)} | {("h", "h1"), ("h1", "h2"), ("h2", "h"), ("h", "i1"), ("i1", "i2"), ("i2", "h")}
+    assert {(r["node"], r["component"]) for r in graph.strong_components(edges(spark, *pairs)).collect()} == plain_components(pairs)
+
+
+def test_long_chains_and_rings_take_few_rounds(spark):
+    n = 100_000
+    step = lambda name, m: spark.range(m).select(F.lit("p").alias("project"), F.format_string(name + "%06d", "id").alias("src"), F.format_string(name + "%06d", (F.col("id") + 1) % n).alias("dst"), F.lit(1).cast("bigint").alias("weight"))
+    found = graph.strong_components(step("ring", n).unionByName(step("chain", n - 1)))
+    assert found.groupBy("component").count().collect() == [("ring000000", n)]
+
+
+def test_levels_and_paths_without_limits(spark):
+    n = 40
+    chain = [(f"a{k:02d}", f"a{k + 1:02d}") for k in range(n)]
+    g = edges(spark, *chain, ("a00", "a40"), ("x", "a39"), ("b", "c"), ("c", "b"), ("c", "d"))
+    levels = {r["node"]: r["level"] for r in graph.topological_levels(g).collect()}
+    assert levels == {**{f"a{k:02d}": k for k in range(n + 1)}, "x": 0}
+    assert [len(r["path"]) for r in graph.all_paths(g, "a00", "a40").collect()] in ([2, 41], [41, 2])
+    grid = edges(spark, *[(f"{i}{j}", f"{i + a}{j + 1 - a}") for i in range(6) for j in range(6) for a in (0, 1)])
+    assert graph.all_paths(grid, "00", "55").count() == 10 and graph.all_paths(grid, "55", "00").count() == 0
 
 
 TS = """import fs from 'fs';
