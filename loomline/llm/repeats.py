@@ -3,8 +3,9 @@
 A byte goes when a string of `length` bytes over it also starts anywhere else. Each window of that length picks one anchor,
 its run of GRAM bytes with the smallest hash (the leftmost), which depends on the window's bytes alone: equal windows have
 equal anchors. Only anchors that occur twice matter. The text around those is sent to hash slices, once for equal
-surroundings in a task, where all windows are compared by 64-bit hashes; windows of very frequent anchors are dealt out by
-a salt, and their hashes are summed over the salts afterwards. Equal texts are told by digest first and compared once.
+surroundings in a task, where all windows are brought together by hash and compared by their bytes; windows of very frequent
+anchors are dealt out by a salt, and counted by BLAKE2 digests over the salts afterwards. Equal texts are told by SHA-256
+first and compared once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import ARROW_BYTES, bound_batches, placed, small, stage
+from .common import ARROW_BYTES, WORD, bound_batches, placed, small, spread_join, stage
 
 LENGTH, GRAM = 400, 128
 #: Occurrences of an anchor that one salt takes, and surroundings in a slice, about.
@@ -90,6 +91,74 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+#: A passage is long from so many words on. It is found by runs of FEWER words, of which every PASSAGE words hold a chosen one.
+PASSAGE, FEWER = 51, 45
+#: Chosen runs in a slice, about.
+RUNS_PER_SLICE = 1_500_000
+
+
+def chosen_runs(data: np.ndarray, offsets: np.ndarray, passage: int = PASSAGE, fewer: int = FEWER) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of runs of `fewer` words, each once a text: of the runs inside every `passage` words the one with the smallest hash, the first of such."""
+    w = bg.words(data, offsets, lower=False)
+    n = len(w.hash) - fewer + 1
+    if n <= passage - fewer:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    total = np.zeros(len(w.hash) + 1, U64)
+    np.cumsum(w.hash * bg.powers(len(w.hash)), out=total[1:])
+    run = bg.mix((total[fewer:] - total[:-fewer]) * bg.powers(n, _INVERSE))
+    within = np.lib.stride_tricks.sliding_window_view(run, passage - fewer + 1)
+    at = np.flatnonzero(w.doc[: n - passage + fewer] == w.doc[passage - 1 :])
+    pick = at + np.argmin(within[at], axis=1)
+    pick = np.unique(pick)
+    order = np.lexsort((run[pick], w.doc[pick]))
+    pick = pick[order]
+    first = np.ones(len(pick), bool)
+    first[1:] = (run[pick][1:] != run[pick][:-1]) | (w.doc[pick][1:] != w.doc[pick][:-1])
+    return run[pick[first]], w.doc[pick[first]]
+
+
+_RUNS = "slice bigint, hashes binary, texts binary, files binary, rows binary"
+
+
+def _send_runs(slices: int):
+    """The chosen runs of the texts of a chunk by slice of their hash: hashes, and for each the text that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, rows = batch.column("_file").to_numpy(), batch.column("_row").to_numpy()
+            for a, b, data, offsets in bg.chunks(batch.column("text"), ARROW_BYTES):
+                hashes, doc = chosen_runs(data, offsets)
+                own = (hashes >> U64(32)) % U64(slices)
+                order = np.argsort(own, kind="stable")
+                cut = np.searchsorted(own[order], np.arange(slices + 1))
+                out = []
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    i = order[cut[k] : cut[k + 1]]
+                    texts, at = np.unique(doc[i], return_inverse=True)
+                    out.append((k, hashes[i].tobytes(), at.astype(np.int32).tobytes(), files[a + texts].tobytes(), rows[a + texts].tobytes()))
+                for k in range(0, len(out), 256):
+                    part = list(zip(*out[k : k + 256], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *(pa.array(x, pa.binary()) for x in part[1:])], names=["slice", "hashes", "texts", "files", "rows"])
+
+    return run
+
+
+def _shared_runs(group: pa.Table) -> pa.Table:
+    """The texts of a slice that hold a run that another text holds too, each once."""
+    hashes, texts, files, rows, n = [], [], [], [], 0
+    for h, t, f, r in zip(*(group.column(c).to_pylist() for c in ("hashes", "texts", "files", "rows")), strict=True):
+        hashes.append(np.frombuffer(h, U64))
+        texts.append(np.frombuffer(t, np.int32) + n)
+        files.append(np.frombuffer(f, np.int64))
+        rows.append(np.frombuffer(r, np.int64))
+        n += len(files[-1])
+    hashes, texts, files, rows = map(np.concatenate, (hashes, texts, files, rows))
+    # a run is in a text once, and a text in one chunk only
+    _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    found = np.unique(texts[count[which] > 1])
+    return pa.table({"_file": pa.array(files[found]), "_row": pa.array(rows[found])})
+
+
 _PLACE = np.dtype([("file", "<i8"), ("row", "<i8"), ("start", "<i8")])
 _SENT = "slice bigint, salts int, windows int, around binary, places binary"
 
@@ -114,27 +183,60 @@ def _surroundings(slices: int):
                 total, down = _sums(data)
                 anchor = _hashes(total, down, at, GRAM)
                 end = window + count - 1 + LENGTH
-                whole = bg.mix((total[end] - total[window]) * down[window] + count.astype(U64))
-                _, first, same = np.unique(whole, return_index=True, return_inverse=True)
-                by = np.argsort(same, kind="stable")
-                cut = np.searchsorted(same[by], np.arange(len(first) + 1))
+                raw = data.tobytes()
+                held: dict[bytes, list[int]] = {}
+                for k, (x, y) in enumerate(zip(window.tolist(), end.tolist(), strict=True)):
+                    held.setdefault(raw[x:y], []).append(k)
                 place = np.empty(len(at), _PLACE)
                 place["file"], place["row"], place["start"] = files[a + doc], rows[a + doc], window - offsets[doc]
-                raw = data.tobytes()
-                out = {"slice": [], "salts": [], "windows": [], "around": [], "places": []}
-                for k, f in enumerate(first.tolist()):
-                    salt = int(bg.mix(np.array([int(whole[f]) ^ int(files[a + doc[f]] & 0xFFFF)], U64))[0]) % max(1, int(salts[f]))
-                    out["slice"].append(int(bg.mix(anchor[f : f + 1] + U64(salt))[0] % U64(slices)))
-                    out["salts"].append(int(salts[f]))
-                    out["windows"].append(int(count[f]))
-                    out["around"].append(raw[window[f] : end[f]])
-                    out["places"].append(place[by[cut[k] : cut[k + 1]]].tobytes())
+                first = np.array([own[0] for own in held.values()], np.int64)
+                spread = bg.mix(anchor[first] ^ bg.mix(files[a + doc[first]].view(U64) + rows[a + doc[first]].view(U64))) % np.maximum(salts[first], 1).astype(U64)
+                out = {
+                    "slice": (bg.mix(anchor[first] + spread) % U64(slices)).astype(np.int64), "salts": salts[first].astype(np.int32), "windows": count[first].astype(np.int32),
+                    "around": list(held), "places": [place[own].tobytes() for own in held.values()],
+                }
                 yield pa.RecordBatch.from_arrays([pa.array(out["slice"], pa.int64()), pa.array(out["salts"], pa.int32()), pa.array(out["windows"], pa.int32()), pa.array(out["around"], pa.binary()), pa.array(out["places"], pa.binary())], names=list(out))
 
     return run
 
 
-_FOUND = "window bigint, _file bigint, _row bigint, start bigint, size int"
+_FOUND = "window binary, _file bigint, _row bigint, start bigint, size int"
+
+
+def _same_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A class for each window, the same for windows of the same bytes.
+
+    Windows are brought together by hash and compared with the first of their class, in runs: where neighbours' firsts are
+    neighbours too, every byte is compared once. Windows that differ from their first are put in classes by their bytes.
+    """
+    total, down = _sums(data)
+    _, first, which = np.unique(_hashes(total, down, at, LENGTH), return_index=True, return_inverse=True)
+    lead = at[first[which]]
+    own = np.flatnonzero(lead != at)
+    if not len(own):
+        return which
+    x, y = at[own], lead[own]
+    begin = np.flatnonzero(np.concatenate(([True], (np.diff(x) != 1) | (np.diff(y) != 1))))
+    size = np.diff(begin, append=len(own))
+    unlike = np.zeros(len(own), bool)
+    step = max(1, int(np.searchsorted(np.cumsum(size + LENGTH), ARROW_BYTES)))
+    for a in range(0, len(begin), step):
+        b = min(a + step, len(begin))
+        long = size[a:b] + LENGTH - 1
+        within = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        bad = np.zeros(len(within) + 1, np.int64)
+        np.cumsum(data[np.repeat(x[begin[a:b]], long) + within] != data[np.repeat(y[begin[a:b]], long) + within], out=bad[1:])
+        if bad[-1]:
+            i = np.arange(begin[a], begin[b - 1] + size[b - 1])
+            place = np.repeat(np.cumsum(long) - long, size[a:b]) + np.arange(len(i)) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])
+            unlike[i] = bad[place + LENGTH] > bad[place]
+    if unlike.any():
+        raw, classes = data.tobytes(), {}
+        odd = np.flatnonzero(np.isin(which, np.unique(which[own[unlike]])))
+        for k in odd.tolist():
+            which[k] = classes.setdefault(raw[at[k] : at[k] + LENGTH], len(first) + len(classes))
+        _, which = np.unique(which, return_inverse=True)
+    return which
 
 
 def _compare(group: pa.Table) -> pa.Table:
@@ -148,9 +250,8 @@ def _compare(group: pa.Table) -> pa.Table:
     copies = np.array([len(p) for p in places])
     of = np.repeat(np.arange(len(windows)), windows)
     within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    total, down = _sums(data)
-    value = _hashes(total, down, offsets[of] + within, LENGTH)
-    _, which = np.unique(value, return_inverse=True)
+    at = offsets[of] + within
+    which = _same_bytes(data, at)
     n = np.bincount(which, weights=copies[of])[which]
     twice = n > 1
     begin = np.flatnonzero(twice & np.concatenate(([True], ~twice[:-1] | (of[1:] != of[:-1]))))
@@ -167,13 +268,15 @@ def _compare(group: pa.Table) -> pa.Table:
         starts.append((p["start"][:, None] + within[begin[x:y]]).ravel())
         sizes.append(np.tile(within[stop[x:y]] - within[begin[x:y]] + 1, len(p)))
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    runs = pa.table({"window": pa.nulls(len(join(files)), pa.int64()), "_file": pa.array(join(files)), "_row": pa.array(join(rows)), "start": pa.array(join(starts)), "size": pa.array(join(sizes).astype(np.int32))})
+    runs = pa.table({"window": pa.nulls(len(join(files)), pa.binary()), "_file": pa.array(join(files)), "_row": pa.array(join(rows)), "start": pa.array(join(starts)), "size": pa.array(join(sizes).astype(np.int32))})
     spread = salts[of] > 1
     single = np.flatnonzero(spread & ~twice)
     one = [places[r][0] for r in of[single]]
-    seen = np.unique(value[spread & twice])
+    _, seen = np.unique(np.where(spread & twice, which, -1), return_index=True)
+    seen = seen[(spread & twice)[seen]]
+    raw = data.tobytes()
     alone = pa.table({
-        "window": pa.array(np.concatenate((value[single], seen)).view(np.int64)),
+        "window": pa.array([hashlib.blake2b(raw[x : x + LENGTH], digest_size=16).digest() for x in at[np.concatenate((single, seen))].tolist()], pa.binary(16)).cast(pa.binary()),
         "_file": pa.array([int(p["file"]) for p in one] + [None] * len(seen), pa.int64()),
         "_row": pa.array([int(p["row"]) for p in one] + [None] * len(seen), pa.int64()),
         "start": pa.array([int(p["start"] + w) for p, w in zip(one, within[single], strict=True)] + [None] * len(seen), pa.int64()),
@@ -200,20 +303,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """Per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage.
 
     Null text counts as empty; texts shorter than the window lose nothing; texts that are equal as a whole, if long enough,
     lose all. Ids may be null or repeated: rows are told apart by where they lie. No rows give no rows. Other columns are
     not read.
+
+    A passage of 51 words can have fewer than 400 bytes, and then stays. shares_passage says whether the text holds a run of
+    words that another text holds too: every shared run of PASSAGE words or more is found, one of FEWER words or more may be,
+    a shorter one never is. Words are compared by 64-bit hashes, without the white space between them.
     """
     bound_batches(docs.sparkSession)
     docs = docs if placed(docs) else stage(docs.select("doc_id", "text"), "rows")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    known = stage(rows.select("doc_id", "_file", "_row", F.octet_length("text").cast("bigint").alias("n_bytes"), F.unhex(sha).alias("digest")), "digests")
+    known = stage(rows.select("doc_id", "_file", "_row", F.octet_length("text").cast("bigint").alias("n_bytes"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n_words"), F.unhex(sha).alias("digest")), "digests")
     equal = known.groupBy("digest").agg(F.min(F.struct("_file", "_row")).alias("rep"), F.count(F.lit(1)).alias("copies"))
     is_rep = (F.col("rep._file") == F.col("_file")) & (F.col("rep._row") == F.col("_row"))
-    known = stage(known.join(equal, "digest").select("doc_id", "_file", "_row", "n_bytes", "digest", "copies", is_rep.alias("is_rep")), "known")
+    # texts with copies are told by their digest wherever their rows lie; the others stand for themselves
+    twice = stage(equal.filter("copies > 1"), "twice")
+    known = stage(spread_join(known, twice, ["digest"], "copies", "left").select("doc_id", "_file", "_row", "n_bytes", "n_words", "digest", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce(is_rep, F.lit(True)).alias("is_rep")), "known")
     again = known.filter("not is_rep").select("_file", "_row")
     work = rows.select("_file", "_row", "text").filter(F.octet_length("text") >= LENGTH).join(small(again, 32), ["_file", "_row"], "left_anti")
     found = stage(work.mapInArrow(_find, "anchor bigint, _file bigint, _row bigint, at int"), "anchors")
@@ -233,12 +342,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     windows = compared.filter("window is null").unionByName(spread.filter("_file is not null").join(more, "window").select(*compared.columns))
     runs = windows.groupBy("_file", "_row").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
     texts = involved.select("_file", "_row", "text")
+    total = known.agg(F.sum("n_bytes")).first()[0] or 0
+    worded = rows.select("_file", "_row", "text").filter(F.octet_length("text") >= 2 * PASSAGE - 1).join(small(again, 32), ["_file", "_row"], "left_anti")
+    shared = stage(worded.mapInArrow(_send_runs(max(16, total // (RUNS_PER_SLICE * 24))), _RUNS).groupBy("slice").applyInArrow(_shared_runs, "_file bigint, _row bigint").distinct(), "shared")
+    shared = shared.withColumn("shared", F.lit(True))
     cut = stage(texts.join(runs, ["_file", "_row"]).mapInArrow(_cut, "_file bigint, _row bigint, removed bigint, spans bigint, left string"), "cut")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     nothing = hashlib.sha256(b"").hexdigest()
-    return known.join(cut, ["_file", "_row"], "left").select(
+    # a copy of a text shares its passages with it
+    copied = (F.col("copies") > 1) & (F.col("n_words") >= PASSAGE)
+    return known.join(small(cut, 128), ["_file", "_row"], "left").join(small(shared, 32), ["_file", "_row"], "left").select(
         "doc_id", "n_bytes",
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(all_gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(all_gone, F.lit(nothing)).otherwise(F.coalesce("left", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        (copied | F.coalesce("shared", F.lit(False))).alias("shares_passage"),
     )

@@ -254,10 +254,58 @@ def test_repeats(docs, none, texts, monkeypatch, per_salt):
     monkeypatch.setattr(repeats, "PER_SALT", per_salt)
     short = [(i, x) for i, x in texts if len(x or "") < 20_000]
     df = docs.filter("length(text) < 20000 or text is null")
-    same(got(repeats.without_repeats(df)), list(plain_repeats(short, 400)))
+    same(got(repeats.without_repeats(df).drop("shares_passage")), list(plain_repeats(short, 400)))
     assert got(repeats.without_repeats(none)) == []
 
 
+def test_equal_hashes_of_unequal_bytes_remove_nothing(spark):
+    """Two texts without a common 400-byte string, whose tails (a Thue-Morse string of two letters and its complement) have equal polynomial hashes."""
+    morse = [bin(k).count("1") % 2 for k in range(256)]
+    head = "".join(chr(97 + k * 7 % 26) + str(k) for k in range(80))[:144]
+    tail = lambda one, two: "".join((one, two)[m] for m in morse)
+    texts = [(1, head + tail("P", "q")), (2, head + tail("q", "P"))]
+    data = np.frombuffer("".join(t for _, t in texts).encode(), np.uint8)
+    assert len(set(repeats._same_bytes(data, np.array([0, 400])).tolist())) == 2
+    rows = got(repeats.without_repeats(spark.createDataFrame([*texts, (3, head + tail("P", "P"))], "doc_id long, text string")))
+    assert [r["n_removed"] for r in rows] == [0, 0, 0]
+
+
+def test_windows_in_classes_by_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(repeats, "_hashes", lambda total, down, at, size: at.astype(np.uint64) % np.uint64(3) * np.uint64(0))  # one hash for all
+    data = np.frombuffer(b"ab" * 300 + bytes(rng.integers(97, 99, 700, dtype=np.uint8)) + b"ab" * 300, np.uint8)
+    at = np.concatenate((np.arange(0, 150), np.arange(700, 900), np.arange(1300, 1400)))
+    which = repeats._same_bytes(data, at)
+    raw = data.tobytes()
+    by = {}
+    for k, w in zip(at.tolist(), which.tolist(), strict=True):
+        assert by.setdefault(raw[k : k + 400], w) == w
+    assert len(by) == len(set(which.tolist()))
+
+
+def test_passages_of_over_fifty_words_are_found(spark, docs, texts):
+    def runs(text, n):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    rng = np.random.default_rng(9)
+    own = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(1, 4)))) for _ in range(n))
+    passages = [own(n) for n in (51, 52, 60, 44, 30)]
+    more = [(1000 + k, f"{own(int(rng.integers(0, 60)))} {passages[k % 5]} {own(int(rng.integers(0, 60)))}") for k in range(60)] + [(1100, passages[0]), (1101, own(51)), (1102, own(200))]
+    every = [(i, t) for i, t in texts if len(t or "") < 20_000] + more
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(4)
+    found = defaultdict(list)
+    for r in got(repeats.without_repeats(df)):
+        found[r["doc_id"]].append(r["shares_passage"])
+    long, short = Counter(x for _, t in every for x in runs(t, 51)), Counter(x for _, t in every for x in runs(t, 45))
+    for i, t in every:
+        if any(long[x] > 1 for x in runs(t, 51)):
+            assert any(found[i]) if i is None else all(found[i])
+        elif i is not None and not any(short[x] > 1 for x in runs(t, 45)):
+            assert not any(found[i]), i
+    assert sum(map(any, found.values())) > 36
+
+
 def test_repeats_of_very_long_texts(docs, texts):
     r = {x["doc_id"]: x for x in got(repeats.without_repeats(docs))}
     n = len(texts[5][1])
