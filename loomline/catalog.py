@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .functions.textsim import longer_words, similarity
-from .operators import bugs, churn, contributors, diffs, graph, health, modules, review, rules, search
+from .functions.jsmath import nearest_rank
+from .operators import bugs, churn, complexity, contributors, diffs, graph, health, modules, review, rules, search
 from .plans import fixtures as fx
+from .plans import samples
+from .sources import code, gitlog
 
 Q = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Q] = {}
@@ -39,6 +42,10 @@ def _joined(c: str):
     return F.array_join(c, ",").alias(c)
 
 
+def _str(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 _STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') as {0}"
 _CHANGED = f"""with changed as (
   select c.repo, path, author, ts, insertions, deletions from commits c join file_changes f using (repo, hash)
@@ -181,13 +188,26 @@ _JACCARD = "case when len({0}) = 0 or len({1}) = 0 then 0.0::double else len(lis
 _SEARCH = "the and oren thin"
 
 
-@_query(fx.with_sql("messages", f"""with w as (select *, {_WORDS.format("'" + _SEARCH + "'")} as q, {_WORDS.format('message')} as m, {_WORDS.format('body')} as b, lower(message || ' ' || body) as t from messages where contains(lower(message || chr(10) || body), 'the')),
-  s as (select *, floor((({_JACCARD.format('q', 'm')}) * 0.7::double + ({_JACCARD.format('q', 'b')}) * 0.3::double) * 100 + 0.5)::int as score from w)
-  select repo, hash, author, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, message, greatest(score, 10) as relevance from s where score > 0 or contains(t, 'the') or contains(t, 'and') or contains(t, 'oren') or contains(t, 'thin')
-  order by relevance desc, s.ts desc, repo, hash limit 50"""))
+def _search_sql(where: str, limit: int) -> str:
+    return fx.with_sql("messages message_changes", f"""with w as (select *, {_WORDS.format("'" + _SEARCH + "'")} as q, {_WORDS.format('message')} as m, {_WORDS.format('body')} as b, lower(message || ' ' || body) as t from messages where contains(lower(message || chr(10) || body), 'the') and {where}),
+  s as (select *, floor((({_JACCARD.format('q', 'm')}) * 0.7::double + ({_JACCARD.format('q', 'b')}) * 0.3::double) * 100 + 0.5)::int as score from w),
+  best as (select repo, hash, author, ts, message, greatest(score, 10) as relevance from s where score > 0 or contains(t, 'the') or contains(t, 'and') or contains(t, 'oren') or contains(t, 'thin')
+    order by relevance desc, s.ts desc, repo, hash limit {limit}),
+  c as (select repo, hash, count(*) as files_changed, sum(case when "binary" then 0 else insertions end)::bigint as insertions, sum(case when "binary" then 0 else deletions end)::bigint as deletions from message_changes group by all)
+  select repo, hash, author, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, message, relevance, coalesce(files_changed, 0) as files_changed, coalesce(insertions, 0) as insertions, coalesce(deletions, 0) as deletions from best left join c using (repo, hash)""")
+
+
+@_query(_search_sql("true", 50))
 def search_commits(spark, sf):
-    found = search.search_commits(fx.messages(spark, sf), fx.file_changes(spark, sf).limit(0), _SEARCH)
-    return found.select("repo", "hash", "author", _stamp("ts"), "message", "relevance")
+    found = search.search_commits(fx.messages(spark, sf), fx.message_changes(spark, sf), _SEARCH)
+    return found.select("repo", "hash", "author", _stamp("ts"), "message", "relevance", "files_changed", "insertions", "deletions")
+
+
+@_query(_search_sql("regexp_matches(author, 'src[1-5]') and ts >= timestamp '2024-02-01' and ts <= timestamp '2024-08-01'", 20))
+def search_commits_filtered(spark, sf):
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp")
+    found = search.search_commits(fx.messages(spark, sf), fx.message_changes(spark, sf), _SEARCH, author="src[1-5]", since=at("2024-02-01"), until=at("2024-08-01"), limit=20)
+    return found.select("repo", "hash", "author", _stamp("ts"), "message", "relevance", "files_changed", "insertions", "deletions")
 
 
 @_query(fx.with_sql("messages", f"select hash, {_JACCARD.format(_WORDS.format('message'), _WORDS.format('body'))} as similarity from messages"))
@@ -246,9 +266,17 @@ def health_metrics(spark, sf):
     return _health(spark, sf).select("repo", "metric", "raw_value", "score", "weight", "status")
 
 
-@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + f" select repo, score, {_GRADE} as grade from overall"))
+@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + f""", named as (select repo, {', '.join(f"coalesce(string_agg(metric, ', ' order by list_position({fx._sql_list(health.BANDS)}, metric)) filter (status in {kinds}), '') as {n}" for n, kinds in (("strong", "('excellent', 'good')"), ("weak", "('poor', 'critical')")))} from metrics group by repo),
+  graded as (select *, {_GRADE} as grade from overall join named using (repo))
+  select repo, score, grade, concat_ws(' ', 'Repository health score: ' || score::varchar || '/100 (Grade ' || grade || ').', case when strong <> '' then 'Strengths: ' || strong || '.' end, case when weak <> '' then 'Areas needing attention: ' || weak || '.' end) as summary from graded"""))
 def health_overall(spark, sf):
-    return health.overall(_health(spark, sf)).select("repo", "score", "grade")
+    return health.overall(_health(spark, sf))
+
+
+@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES.replace("select repo, sum(case when", "select repo, floor(sum(case when").replace("else insertions + deletions end) as s from", "else insertions + deletions end) / count(distinct hash) + 0.5) as s from") + " select repo, metric, raw_value, score, status from metrics where metric = 'averageCommitSize'"))
+def health_per_commit(spark, sf):
+    found = health.health_metrics(fx.commits(spark, sf), fx.file_changes(spark, sf), fx.branches(spark, sf), fx.repo_files(spark, sf), as_of(), "per_commit")
+    return found.filter("metric = 'averageCommitSize'").select("repo", "metric", "raw_value", "score", "status")
 
 
 @_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + " select metric, a.score as score_1, b.score as score_2, case when a.score > b.score then 'r0' when b.score > a.score then 'r1' else 'tie' end as winner from (select * from metrics where repo = 'r0') a join (select * from metrics where repo = 'r1') b using (metric)"))
@@ -259,14 +287,21 @@ def health_compare(spark, sf):
 _PRIORITY = "case metric when 'commitFrequency' then 'high' when 'codeChurnRate' then 'high' when 'averageCommitSize' then 'medium' when 'documentationRatio' then 'medium' else 'low' end"
 
 
-@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + f" select repo, {_PRIORITY} as priority, count(*) as n from metrics where status in ('poor', 'critical') group by all"))
+_ADVICE_SQL = ", ".join(f"({_str(m)}, {list(health.BANDS).index(m)}, {', '.join(map(_str, a))})" for m, a in health.ADVICE.items())
+
+
+@_query(fx.with_sql("commits file_changes branches repo_files", _VALUES + f""", advice as (select * from (values {_ADVICE_SQL}) t(metric, ix, priority, category, message, action))
+  select repo, row_number() over (partition by repo order by list_position(['high', 'medium', 'low'], priority), ix)::int as seq, priority, category, message, action from metrics join advice using (metric) where status in ('poor', 'critical')"""))
 def health_recommendations(spark, sf):
-    return health.health_recommendations(_health(spark, sf)).groupBy("repo", "priority").agg(F.count(F.lit(1)).alias("n"))
+    return health.health_recommendations(_health(spark, sf))
 
 
-@_query()
+_ENDS = ("2001-07-18 00:00:00", "2001-07-25 00:00:00", fx.AS_OF)
+
+
+@_query(" union all ".join(f"select * from ({fx.with_sql('commits file_changes branches repo_files', _VALUES.replace(fx.AS_OF, at) + f' select repo, {_str(at)} as as_of, score, {_GRADE} as grade from overall')})" for at in _ENDS))
 def health_trend(spark, sf):
-    return health.health_trend(fx.commits(spark, sf), fx.file_changes(spark, sf), fx.branches(spark, sf), fx.repo_files(spark, sf), ["2001-07-18 00:00:00", "2001-07-25 00:00:00", fx.AS_OF])
+    return health.health_trend(fx.commits(spark, sf), fx.file_changes(spark, sf), fx.branches(spark, sf), fx.repo_files(spark, sf), _ENDS)
 
 
 @_query(fx.with_sql("commits branches repo_files", """select repo, total_commits, total_contributors, strftime(created, '%Y-%m-%d %H:%M:%S') as created, strftime(last_commit, '%Y-%m-%d %H:%M:%S') as last_commit, coalesce(total_branches, 0) as total_branches, coalesce(total_files, 0) as total_files from (
@@ -311,10 +346,6 @@ def _fits_sql(c: str, pattern: str) -> str:
     return "regexp_matches({}, '(?i){}')".format(c, pattern.replace("'", "''").replace(r"\/", "/"))
 
 
-def _str(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 _ISSUES = "with rules as (select pr_id, file_ix, filename, pos, n as line, unnest(list_filter([" + ", ".join(
     f"case when {_fits_sql('content', r.pattern)} then {{'c': {_str(c)}, 'ci': {ci}, 'ri': {k}, 'title': {_str(r.title)}, 'severity': {_str(r.severity)}, 'suggestion': {_str(rules.ADVICE[c].get(r.title, rules.DEFAULT_ADVICE))}}} end"
     for ci, (c, rs) in enumerate(rules.ISSUE_RULES.items()) for k, r in enumerate(rs)
@@ -393,17 +424,60 @@ def comment_outbox(spark, sf):
     return review.comment_outbox(fx.pr_talk(spark, sf), fx.pull_requests(spark, sf)).select("pr_id", "id", "action", "line", "side", "commit_id", "in_reply_to")
 
 
-@_query(fx.with_sql("pr_files", f"""select pr_id, n_files, added, modified, removed, renamed, coalesce(n, 0) as n_comments, coalesce(a, 0) as commenters from (
+_STATES = ("APPROVED", "CHANGES_REQUESTED", "COMMENTED", "DISMISSED", "PENDING")
+_STATE_SQL = f"{fx._sql_list(_STATES)}[(s % 5 + 1)::int]"
+
+
+def _reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments as reviews, with every state."""
+    return fx.pr_talk(spark, sf).select("pr_id", F.element_at(F.array(*[F.lit(s) for s in _STATES]), (F.col("id") % 5 + 1).cast("int")).alias("state"))
+
+
+@_query(fx.with_sql("pr_files", f"""select pr_id, n_files, added, modified, removed, renamed, coalesce(n, 0) as n_comments, coalesce(a, 0) as commenters, coalesce(approved, 0) as approved, coalesce(changes_requested, 0) as changes_requested, coalesce(commented, 0) as commented from (
   select pr_id, count(*) as n_files, count(*) filter (status = 'added') as added, count(*) filter (status = 'modified') as modified, count(*) filter (status = 'removed') as removed, count(*) filter (status = 'renamed') as renamed from pr_files group by pr_id)
-  left join (select pr_id, count(*) as n, count(distinct author) as a from ({_TALK}) group by pr_id) using (pr_id)"""))
+  left join (select pr_id, count(*) as n, count(distinct author) as a, {', '.join(f"count(*) filter ({_STATE_SQL} = '{s}') as {s.lower()}" for s in ("APPROVED", "CHANGES_REQUESTED", "COMMENTED"))} from ({_TALK}) group by pr_id) using (pr_id)"""))
 def pr_details(spark, sf):
-    none = fx.pr_talk(spark, sf).select("pr_id", F.lit("COMMENTED").alias("state")).limit(0)
-    return review.pr_details(fx.pull_requests(spark, sf), fx.pr_files(spark, sf), fx.pr_talk(spark, sf), none).select("pr_id", "n_files", "added", "modified", "removed", "renamed", "n_comments", "commenters")
+    found = review.pr_details(fx.pull_requests(spark, sf), fx.pr_files(spark, sf), fx.pr_talk(spark, sf), _reviews(spark, sf))
+    return found.select("pr_id", "n_files", "added", "modified", "removed", "renamed", "n_comments", "commenters", "approved", "changes_requested", "commented")
+
+
+@_query(fx.with_sql("pr_files", "select pr_id, status, count(*) as n from pr_files group by all"))
+def pr_status_counts(spark, sf):
+    return review.counts(fx.pr_files(spark, sf), "status")
+
+
+@_query(f"select pr_id, {_STATE_SQL} as state, count(*) as n from ({_TALK}) group by all")
+def pr_review_state_counts(spark, sf):
+    return review.counts(_reviews(spark, sf), "state")
+
+
+@_query(fx.with_sql("diff_lines", _ISSUES + " select pr_id, category, count(*) as n from issues group by all"))
+def pr_category_counts(spark, sf):
+    return review.counts(review.pr_issues(fx.pr_files(spark, sf)), "category")
+
+
+_EVENTS = "['APPROVE', 'REQUEST_CHANGES', 'COMMENT', 'PENDING']"
 
 
-@_query(fx.with_sql("repo_files", r"""select path, case when path like '%.ts' then 'typescript' when path like '%.js' then 'javascript' when path like '%.py' then 'python' when path like '%.md' then 'markdown' else 'json' end as language from repo_files"""))
+@_query(fx.with_sql("pr_files", f"""select pr_id, {_EVENTS}[(pr_id % 4 + 1)::int] as event, 'review ' || pr_id::varchar as body, case when pr_id % 3 = 0 then 'given' else 'sha' || pr_id::varchar end as commit_id, coalesce(c, '') as comments
+  from (select distinct pr_id from pr_files) left join (select pr_id, string_agg(path || ':' || coalesce(line::varchar, '') || ':RIGHT', ',' order by path, line nulls first, body) as c
+    from (select *, 'src/a.ts' as path, case when s % 5 <> 0 then s % 50 + 1 end as line from ({_TALK}) where turn % 3 = 1) group by pr_id) using (pr_id) where pr_id % 4 <> 3"""))
+def review_outbox(spark, sf):
+    heads = fx.pull_requests(spark, sf)
+    event = F.element_at(F.array(*[F.lit(e) for e in ("APPROVE", "REQUEST_CHANGES", "COMMENT", "PENDING")]), (F.col("pr_id") % 4 + 1).cast("int"))
+    reviews = heads.select("pr_id", event.alias("event"), F.concat(F.lit("review "), F.col("pr_id").cast("string")).alias("body"), F.when(F.col("pr_id") % 3 == 0, "given").alias("commit_id"))
+    sent = review.review_outbox(reviews, fx.pr_talk(spark, sf).filter("path is not null"), heads)
+    flat = F.transform("comments", lambda c: F.concat(c["path"], F.lit(":"), F.coalesce(c["line"].cast("string"), F.lit("")), F.lit(":"), c["side"]))
+    return sent.select("pr_id", "event", "body", "commit_id", F.coalesce(F.array_join(flat, ","), F.lit("")).alias("comments"))
+
+
+_ENDINGS = [*paths.LANGUAGES, ".TSX", ".unknown", "", ".Dockerfile"]
+_OF_ENDINGS = [*paths.LANGUAGES.values(), "typescript", "unknown", "unknown", "dockerfile"]
+
+
+@_query(f"select 'dir/f' || doc_id::varchar || {fx._sql_list(_ENDINGS)}[(doc_id % {len(_ENDINGS)} + 1)::int] as path, {fx._sql_list(_OF_ENDINGS)}[(doc_id % {len(_ENDINGS)} + 1)::int] as language from documents")
 def file_languages(spark, sf):
-    return fx.repo_files(spark, sf).select("path", paths.language(F.col("path")).alias("language"))
+    return fx.named_files(spark, sf).select("path", paths.language(F.col("path")).alias("language"))
 
 
 @_query("""select url, regexp_matches(regexp_replace(url, '(?i)http://(localhost|127\\.0\\.0\\.1)', '', 'g'), '(?i)http://') as insecure from pages""")
@@ -422,29 +496,49 @@ def _patches(spark: SparkSession, sf: str) -> DataFrame:
 
 _BUGS = f"""with {_PATCHES}, lines as (select repo, hash, path, unnest(string_split(body, chr(10))) as content from patches),
 added as (select repo, hash, path, count(*) filter (not (content[1:2] = '++')) as a, count(*) filter (not (content[1:2] = '++') and regexp_matches(content, '(?i)\\bthat\\b')) as m from lines group by all),
-scored as (select repo, hash, path, a, m, message, author, ts, least(100, least(15 * m, 50) + {' + '.join(f"case when contains(lower(message), '{w}') then 10 else 0 end" for w in bugs.SUSPICIOUS)} + case when a + d > 100 then 15 when a + d > 50 then 10 else 0 end) as s
+scored as (select repo, hash, path, a, d, m, message, author, ts, least(100, least(15 * m, 50) + {' + '.join(f"case when contains(lower(message), '{w}') then 10 else 0 end" for w in bugs.SUSPICIOUS)} + case when a + d > 100 then 15 when a + d > 50 then 10 else 0 end) as s
   from (select *, case when message[1:2] = '--' then 0 else 1 end as d from added join patches using (repo, hash, path)))"""
 
 
-@_query(fx.with_sql("messages", _BUGS + " select repo, hash, path, author, m as matched_lines, s::bigint as suspicion_score from scored where m > 0"))
+_HIT_LINES = r""", hits as (select repo, hash, path, k, content, row_number() over (partition by repo, hash, path order by k) as place from (
+    select repo, hash, path, unnest(string_split(body, chr(10))) as content, generate_subscripts(string_split(body, chr(10)), 1) as raw,
+      generate_subscripts(string_split(body, chr(10)), 1) as k from patches) where content[1:2] <> '++' or content is null),
+hit as (select repo, hash, path, list_sort(list_distinct(flatten(list(regexp_extract_all(content, '(?i)\bthat\b'))))) as words, string_agg(place::varchar || ':' || trim(content, ' '), '|' order by place, trim(content, ' ')) as lines from hits where regexp_matches(content, '(?i)\bthat\b') group by all)"""
+
+
+@_query(fx.with_sql("messages", _BUGS + _HIT_LINES + """ select repo, hash, path, author, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, message, m as matched_lines, array_to_string(words, ',') as matched_patterns, lines as affected_lines, s::bigint as suspicion_score,
+  concat_ws('; ', case when m > 1 then 'Pattern matched ' || m::varchar || ' times' else 'Pattern match found' end, case when contains(lower(message), 'fix') or contains(lower(message), 'bug') then 'Commit message indicates bug fix' end,
+    case when contains(lower(message), 'hotfix') or contains(lower(message), 'urgent') then 'Marked as urgent/hotfix' end, case when a + d > 100 then 'Large commit with many changes' end) as reason,
+  row_number() over (partition by repo, path order by s desc, scored.ts, hash) as rank from scored join hit using (repo, hash, path) where m > 0"""))
 def suspected_commits(spark, sf):
-    return bugs.suspected_commits(fx.messages(spark, sf), _patches(spark, sf), r"\bthat\b").select("repo", "hash", "path", "author", "matched_lines", "suspicion_score")
+    found = bugs.suspected_commits(fx.messages(spark, sf), _patches(spark, sf), r"\bthat\b")
+    lines = F.array_join(F.transform("affected_lines", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["content"])), "|")
+    return found.select("repo", "hash", "path", "author", _stamp("ts"), "message", "matched_lines", _joined("matched_patterns"), lines.alias("affected_lines"), "suspicion_score", "reason", "rank")
 
 
-@_query(fx.with_sql("messages", _BUGS + """ select repo, path, total_commits, suspected, case when suspected = 0 then 'low' when high >= 3 or suspected / total_commits::double > 0.5 then 'high' when high >= 1 or suspected / total_commits::double > 0.2 then 'medium' else 'low' end as risk_level from (
-  select repo, path, count(*) as total_commits, count(*) filter (m > 0) as suspected, count(*) filter (m > 0 and s >= 70) as high from scored group by repo, path)"""))
+@_query(fx.with_sql("messages", _BUGS + """, risk as (select repo, path, total_commits, suspected, high, first_introduced, case when suspected = 0 then 'low' when high >= 3 or suspected / total_commits::double > 0.5 then 'high' when high >= 1 or suspected / total_commits::double > 0.2 then 'medium' else 'low' end as risk_level from (
+  select repo, path, count(*) as total_commits, count(*) filter (m > 0) as suspected, count(*) filter (m > 0 and s >= 70) as high, arg_min(hash, (ts, hash)) filter (m > 0) as first_introduced from scored group by repo, path))
+  select *, case when risk_level = 'high' then 'High risk: ' || suspected::varchar || ' commits introduced the pattern. Review all suspected commits carefully and consider refactoring.'
+    when risk_level = 'medium' then 'Medium risk: Pattern found in ' || suspected::varchar || ' commit(s). Review the suspected commits to understand the context.' when suspected > 0 then 'Low risk: Pattern found but appears intentional. Verify the implementation.'
+    else 'Pattern "\\bthat\\b" not found in recent history. Consider extending the search range or checking if the file was renamed.' end as recommendation from risk"""))
 def bug_risk(spark, sf):
-    return bugs.bug_risk(fx.messages(spark, sf), _patches(spark, sf), r"\bthat\b").select("repo", "path", "total_commits", "suspected", "risk_level")
+    return bugs.bug_risk(fx.messages(spark, sf), _patches(spark, sf), r"\bthat\b").select("repo", "path", "total_commits", "suspected", "high", "first_introduced", "risk_level", "recommendation")
 
 
-@_query(fx.with_sql("messages", f"with {_PATCHES} select repo, path, row_number() over (partition by repo, path order by ts, hash) as seq, hash, author from patches"))
+@_query(fx.with_sql("messages", _BUGS + """ select repo, path, seq, hash, author, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, message, case when seq = 1 then 'introduced' when d > 0 and a = 0 then 'deleted' when a > 0 and d = 0 then 'restored' else 'modified' end as change_type
+  from (select *, row_number() over (partition by repo, path order by ts, hash) as seq from scored)"""))
 def change_timeline(spark, sf):
-    return bugs.change_timeline(fx.messages(spark, sf), _patches(spark, sf)).select("repo", "path", "seq", "hash", "author")
+    return bugs.change_timeline(fx.messages(spark, sf), _patches(spark, sf)).select("repo", "path", "seq", "hash", "author", _stamp("ts"), "message", "change_type")
+
+
+_OCCURS = "((len({0}) - len(replace({0}, 'that', ''))) // 4)"
 
 
-@_query()
+@_query(fx.with_sql("messages", f"""with {_PATCHES}, lines as (select repo, hash, path, author, ts, message, unnest(string_split(body, chr(10))) as content from patches),
+  t as (select repo, hash, path, author, ts, message, sum(case when content[1:2] = '++' then 0 else {_OCCURS.format('content')} end) as plus, any_value(case when message[1:2] = '--' then 0 else {_OCCURS.format('message')} end) as minus from lines group by all)
+  select repo, hash, path, author, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, message, 1 as match_count from t where plus <> minus"""))
 def pickaxe(spark, sf):
-    return bugs.pickaxe(fx.messages(spark, sf), _patches(spark, sf), "that")
+    return bugs.pickaxe(fx.messages(spark, sf), _patches(spark, sf), "that").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 _GRAPH = "with g as (select distinct project, src, dst from {0}), d as (select project, node, sum(i)::bigint as in_degree, sum(o)::bigint as out_degree from (select project, src as node, 0 as i, 1 as o from g union all select project, dst, 1, 0 from g) group by project, node)"
@@ -562,6 +656,270 @@ def architecture_style(spark, sf):
     return modules.architecture_style(fx.tree(spark, sf))
 
 
+@_query(fx.with_sql("links", _GRAPH.format("links") + " select project, node, degree from (select *, in_degree + out_degree as degree, max(in_degree + out_degree) over (partition by project) as most from d) where degree = most"))
+def most_connected(spark, sf):
+    return graph.most_connected(graph.degrees(fx.links(spark, sf)))
+
+
+@_query(fx.with_sql("edges", _CYCLES + """, ranked as (select *, row_number() over (order by list_position(['critical', 'high', 'medium', 'low'], severity), component)::int as seq from rated)
+  select component, members, length, affected, severity, seq from ranked where seq <= 20""", recursive=True))
+def top_cycles(spark, sf):
+    return graph.top_cycles(graph.cycles(fx.edges(spark, sf))).select("component", F.array_join("members", ",").alias("members"), "length", "affected", "severity", "seq")
+
+
+@_query(fx.with_sql("edges", _CYCLES + f""", s as (select count(*) as n, count(*) filter (severity = 'critical') as c, count(*) filter (severity = 'high') as h, max(length) as longest, min(length) as shortest from rated)
+  select 'main' as project, concat_ws('|', case when c > 0 then 'URGENT: ' || c::varchar || {_str(graph.CRITICAL_CYCLES)} end, case when h > 0 then h::varchar || {_str(graph.HIGH_CYCLES)} end, case when n > 5 then {_str(graph.MANY_CYCLES)} end,
+    case when shortest = 2 then {_str(graph.SHORT_CYCLES)} end, case when longest >= 4 then {_str(graph.LONG_CYCLES)} end, {', '.join(map(_str, graph.CYCLE_TIPS))}) as recommendations from s where n > 0""", recursive=True))
+def cycle_recommendations(spark, sf):
+    return graph.cycle_recommendations(graph.cycles(fx.edges(spark, sf))).withColumn("recommendations", F.array_join("recommendations", "|"))
+
+
+@_query(fx.with_sql("edges", _CYCLES + """, steps as (select component, unnest(string_split(members, ',')) as src, generate_subscripts(string_split(members, ','), 1) - 1 as pos, string_split(members, ',') as m from rated),
+  pairs as (select component, pos, src, m[(pos + 1) % len(m) + 1] as dst from steps), heavy as (select src, dst, (src::bigint % 4 + 1)::bigint as weight from edges),
+  w as (select component, pos, src, dst, coalesce(max(weight), 1) as weight from pairs left join heavy using (src, dst) group by all)
+  select 'main' as project, component, src, dst, weight from (select *, row_number() over (partition by component order by weight, pos) as r from w) where r = 1""", recursive=True))
+def weakest_links(spark, sf):
+    weighed = fx.edges(spark, sf).withColumn("weight", F.col("src").cast("bigint") % 4 + 1)
+    return graph.weakest_links(graph.cycles(weighed), weighed)
+
+
+@_query(fx.with_sql("links edges", _REACH + " select 'web' as project, true as is_dag union all select 'main', count(*) = 0 and (select count(*) from edges where src = dst) = 0 from mutual", recursive=True))
+def acyclic(spark, sf):
+    return graph.is_acyclic(fx.links(spark, sf).unionByName(fx.edges(spark, sf)))
+
+
+@_query(fx.with_sql("edges", "with r(node, path) as (select '7', ['7'] union all select e.dst, list_append(path, e.dst) from r join edges e on e.src = r.node where r.node <> '52' and not list_contains(path, e.dst)) select 'main' as project, array_to_string(path, '>') as path from r where node = '52'", recursive=True))
+def simple_paths(spark, sf):
+    return graph.all_paths(fx.edges(spark, sf), "7", "52").withColumn("path", F.array_join("path", ">"))
+
+
+@_query(fx.with_sql("tree tree_edges", _COUPLED + ", t as (select project, path, ca, ce, ca + ce as total, row_number() over (order by ca + ce desc, path) as rank from m) select * from t where rank <= 10"))
+def high_coupling(spark, sf):
+    return modules.high_coupling(modules.coupling(fx.tree(spark, sf), fx.tree_edges(spark, sf))).select("project", "path", "ca", "ce", "total", "rank")
+
+
+@_query(fx.with_sql("tree tree_edges", f"""with t as (select project, path, {_GROUP_SQL['layer']} as "group" from tree)
+  select 'main' as project, a."group" as from_group, b."group" as to_group, count(*) as imports from tree_edges e join t a on e.src = a.path join t b on e.dst = b.path where a."group" <> b."group" group by all"""))
+def group_links(spark, sf):
+    return modules.group_links(modules.grouped(fx.tree(spark, sf), "layer"), fx.tree_edges(spark, sf))
+
+
+@_query(fx.with_sql("tree tree_edges", f"""with t as (select path, {_GROUP_SQL['feature']} as "group" from tree),
+  l as (select a."group" as g, count(*) as n from tree_edges e join t a on e.src = a.path join t b on e.dst = b.path where a."group" = b."group" group by all),
+  x as (select "group", count(*) as size from t group by all), y as (select size, case when size <= 1 then 1.0::double else coalesce(n, 0)::double / (size * (size - 1)) end as cohesion from x left join l on g = "group")
+  select 'main' as project, count(*) as groups, sum(cohesion * size) / sum(size)::double as cohesion_score from y"""))
+def overall_cohesion(spark, sf):
+    return modules.overall_cohesion(modules.group_metrics(modules.grouped(fx.tree(spark, sf), "feature"), fx.tree_edges(spark, sf)))
+
+
+_MARKED_DIR = "regexp_replace(case when contains(path, '/') then path else './' || path end, '/[^/]*$', '')"
+
+
+@_query(fx.with_sql("marked_tree", f"""with m as (select distinct project, {_MARKED_DIR} as dir from marked_tree where regexp_extract(path, '[^/]*$') in ('package.json', '__init__.py', 'setup.py')),
+  near as (select t.project, path, max_by(dir, len(dir)) as dir from marked_tree t join m on m.project = t.project and m.dir <> '.' and starts_with({_MARKED_DIR} || '/', dir || '/') group by t.project, path)
+  select project, path, coalesce(dir, 'root') as "group" from marked_tree left join near using (project, path)"""))
+def package_groups(spark, sf):
+    return modules.grouped(fx.marked_tree(spark, sf), "package").select("project", "path", "group")
+
+
+@_query(fx.with_sql("marked_tree", r"select project, path from marked_tree where regexp_matches('/' || path, '(?i)/(index|main|app|server|cli)\.(ts|js|py)$') or ends_with('/' || path, '/__init__.py') or ends_with('/' || path, '/package.json')"))
+def entry_files(spark, sf):
+    return modules.entry_files(fx.marked_tree(spark, sf))
+
+
+@_query(fx.with_sql("commits file_changes", """select repo, insertions from (select repo, insertions, row_number() over (partition by repo order by insertions) as r, count(*) over (partition by repo) as n from file_changes) where r = greatest(ceil(0.9::double * n)::bigint, 1)"""))
+def insertions_p90(spark, sf):
+    return nearest_rank(fx.file_changes(spark, sf), "repo", "insertions", 90)
+
+
+@_query("select 'r' || (o_orderkey % 3)::varchar as repo, sha1(o_orderkey::varchar) as hash, 'a' || o_custkey::varchar as author, 'a' || o_custkey::varchar || '@mail.example' as author_email, strftime(o_orderdate::timestamp, '%Y-%m-%d %H:%M:%S') as ts from orders")
+def log_commits(spark, sf):
+    return gitlog.numstat_records(fx.log_records(spark, sf))[0].withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query(f"""select 'r' || (o_orderkey % 3)::varchar as repo, sha1(o_orderkey::varchar) as hash, {fx._sql_path('l_partkey')} || '.' || l_linenumber::int::varchar as path, case when l_returnflag = 'R' then 0 else l_quantity::bigint end as insertions,
+  case when l_returnflag = 'R' then 0 else l_linenumber::bigint end as deletions, l_returnflag = 'R' as "binary" from orders join lineitem on o_orderkey = l_orderkey""")
+def log_changes(spark, sf):
+    return gitlog.numstat_records(fx.log_records(spark, sf))[1]
+
+
+@_query("""with l as (select 'r' || (o_orderkey % 3)::varchar as repo, o_orderkey from orders where o_orderkey <= 900) select repo, sha1(o_orderkey::varchar) as hash, count(l_orderkey) as files from l left join lineitem on o_orderkey = l_orderkey group by all""")
+def log_as_one_text(spark, sf):
+    """Logs as one text each, as a reader without record separators has them."""
+    own = fx.log_records(spark, sf)
+    few = fx.read(spark, sf, "orders").filter("o_orderkey <= 900").select(F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("h"))
+    texts = own.withColumn("h", F.substring("record", 1, 40)).join(few, "h").groupBy("repo").agg(F.array_join(F.collect_list("record"), "\n\n").alias("log"))
+    commits, changes = gitlog.numstat_log(texts)
+    return commits.select("repo", "hash").join(changes.groupBy("repo", "hash").agg(F.count(F.lit(1)).alias("files")), ["repo", "hash"], "left").select("repo", "hash", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+@_query(f"""with p as (select p_partkey as k, {fx._sql_path('p_partkey')} as path, p_partkey % 5 as a, p_partkey % 3 as d, p_partkey % 90 as n from part)
+  select k, path, case when a + d = 0 then 0 else floor(a * (n::double / (a + d)) + 0.5)::bigint end as insertions, case when a + d = 0 then 0 else floor(d * (n::double / (a + d)) + 0.5)::bigint end as deletions, false as "binary" from p
+  union all select k, path || '.Binary', n, 0, false from p where k % 7 = 0 union all select k, path || '.Binary', 0, 0, true from p where k % 7 = 0 union all select k, path || '.png', 0, 0, true from p""")
+def stat_rows(spark, sf):
+    k = F.col("p_partkey")
+    path = fx._path(k)
+    signs = F.concat(F.repeat(F.lit("+"), (k % 5).cast("int")), F.repeat(F.lit("-"), (k % 3).cast("int")))
+    n = (k % 90).cast("string")
+    output = F.concat_ws("\n", F.concat(F.lit(" "), path, F.lit(" | "), n, F.lit(" "), signs), F.when(k % 7 == 0, F.concat(F.lit(" "), path, F.lit(".Binary |  "), n, F.lit(" +"))), F.concat(F.lit(" "), path, F.lit(".png | Bin 12 -> 40 bytes")), F.lit(" 3 files changed"))
+    rows = fx.read(spark, sf, "part").select(k.alias("k"), F.explode(gitlog.stat_rows(output)).alias("r"))
+    return rows.select("k", "r.path", "r.insertions", "r.deletions", "r.binary")
+
+
+@_query("""select doc_id as k, doc_id % 9 as files, doc_id % 50 as insertions, case when doc_id % 2 = 0 then doc_id % 13 else 0 end as deletions from documents""")
+def short_stats(spark, sf):
+    d = F.col("doc_id")
+    n = lambda m: (d % m).cast("string")
+    line = F.concat(F.lit(" "), n(9), F.when(d % 9 == 1, F.lit(" file changed, ")).otherwise(F.lit(" files changed, ")), n(50), F.lit(" insertions(+)"), F.when(d % 2 == 0, F.concat(F.lit(", "), n(13), F.lit(" deletions(-)"))).otherwise(F.lit("")))
+    return fx.read(spark, sf, "documents").select(d.alias("k"), gitlog.shortstat(line).alias("s")).select("k", "s.files", "s.insertions", "s.deletions")
+
+
+@_query(fx.with_sql("messages", """select hash, author, email, date, message, body from (select hash, author, author || '@mail.example' as email, strftime(ts, '%Y-%m-%d') as date, replace(message, '|', '/') as message, 'rest|of ' || hash as body from messages) where hash::bigint % 3 <> 0
+  union all select hash, author, author || '@mail.example', strftime(ts, '%Y-%m-%d'), replace(message, '|', '/'), '' from messages where hash::bigint % 3 = 0"""))
+def log_lines(spark, sf):
+    m = fx.messages(spark, sf)
+    line = F.concat_ws("|", "hash", "author", "author_email", F.date_format("ts", "yyyy-MM-dd"), F.replace(F.col("message"), F.lit("|"), F.lit("/")), F.when(F.col("hash").cast("bigint") % 3 != 0, F.concat(F.lit("rest|of "), F.col("hash"))))
+    return m.select(gitlog.parse_log_line(line).alias("x")).select("x.*")
+
+
+@_query(f"""select doc_id as k, strftime(case doc_id % 5 when 0 then timestamp '{fx.AS_OF}' - to_days((doc_id % 40)::int) when 1 then timestamp '{fx.AS_OF}' - to_days((doc_id % 40 * 7)::int) when 2 then timestamp '{fx.AS_OF}' - to_months((doc_id % 40)::int)
+  when 3 then timestamp '{fx.AS_OF}' - to_years((doc_id % 40)::int) else null end, '%Y-%m-%d %H:%M:%S') as at from documents""")
+def flexible_dates(spark, sf):
+    d = F.col("doc_id")
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("days ago", "Weeks ago", "month ago", "years ago ", "moons ago")]), (d % 5 + 1).cast("int"))
+    at = gitlog.flexible_date(F.concat((d % 40).cast("string"), F.lit(" "), unit), as_of())
+    return fx.read(spark, sf, "documents").select(d.alias("k"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@_query("""with d as (select doc_id as pr_id, 'src/f' || doc_id::varchar as f, doc_id from documents)
+  select pr_id, 0 as file_ix, f || '.ts' as filename, 'typescript' as language, doc_id % 5 + 1 as additions, 0 as deletions from d
+  union all select pr_id, 1, f || '.py', 'python', doc_id % 7 + 1, 2 from d union all select pr_id, 2, '/dev/null', 'unknown', 0, 2 from d""")
+def split_diffs(spark, sf):
+    return diffs.split_diff(fx.whole_diffs(spark, sf), ["pr_id"]).drop("patch")
+
+
+@_query("""with d as (select doc_id as pr_id, doc_id % 7 + 1 as n from documents), a as (select pr_id, n, unnest(range(1, n + 1)) as i from d)
+  select pr_id, 1 as hunk, 'normal' as type, 1 as old_line, 1 as new_line, 'a' as content from d union all select pr_id, 1, 'del', 2, null, 'b' from d union all select pr_id, 1, 'add', null, 1 + i::int, 'x' from a union all select pr_id, 2, 'del', 20, null, 'c' from d""")
+def split_diff_lines(spark, sf):
+    files = diffs.split_diff(fx.whole_diffs(spark, sf), ["pr_id"]).filter("file_ix = 1")
+    return diffs.diff_lines(files, ["pr_id", "file_ix"]).select("pr_id", "hunk", "type", "old_line", "new_line", "content")
+
+
+def _found(spark: SparkSession, sf: str, language: str) -> DataFrame:
+    return code.modules(samples.source_files(spark, sf, language), language)
+
+
+_FIRST_SEEN = "coalesce((select string_agg(x, ',' order by seen) from (select x, min(part * 100 + pos) as seen from (select part, unnest({0}) as x, generate_subscripts({0}, 1) as pos from own o where o.project = f.project and o.path = f.path) u group by x) v), '') as {0}"
+
+
+def _sources(language: str) -> None:
+    """The queries over the sample files of a language."""
+
+    def functions(spark, sf):
+        return complexity.functions(samples.source_files(spark, sf, language), language)
+
+    def parsed(spark, sf):
+        return _found(spark, sf, language).select("project", "path", "name", "type", _joined("imports"), _joined("exports"), "size", "lines")
+
+    def lines(spark, sf):
+        return complexity.code_lines(samples.source_files(spark, sf, language), language)
+
+    def detected(spark, sf):
+        return code.detect_language(samples.source_files(spark, sf, language).withColumn("path", F.regexp_replace("path", ".*/", "")))
+
+    files = "(select project, path, any_value(k) as k, sum(strlen(code)) + 2 as size, sum(n_lines) as lines, sum(loc)::bigint as loc from own group by project, path)"
+    modules_sql = f"select project, path, 'f' || k::varchar as name, '{language}' as type, {_FIRST_SEEN.format('imports')}, {_FIRST_SEEN.format('exports')}, size::bigint as size, lines::bigint as lines from {files} f"
+    for run, tag, sql in (
+        (functions, "functions", "select * from functions"), (parsed, "modules", modules_sql), (lines, "code_lines", f"select project, path, loc from {files}"),
+        (detected, "language", f"select distinct project, '{language}' as language from own"),
+    ):
+        run.__name__ = f"{language}_{tag}"
+        _query(samples.sql(language, sql))(run)
+
+
+for _language in samples.SNIPPETS:
+    _sources(_language)
+
+
+@_query(samples.sql("python", "select project, path, 1 + sum(points)::bigint as complexity, sum(defs)::bigint as functions, sum(classes)::bigint as classes, sum(loc)::bigint as loc from own group by project, path"))
+def python_file_complexity(spark, sf):
+    return complexity.python_files(samples.source_files(spark, sf, "python"))
+
+
+@_query(samples.sql("javascript", "select project, path, (1 + sum(points))::int as complexity from own group by project, path"))
+def javascript_file_complexity(spark, sf):
+    return complexity.js_file_complexity(samples.source_files(spark, sf, "javascript"))
+
+
+_RATED = """with per as (select project, path, sum(complexity) as total, count(*) as n, max(complexity) as top from functions group by all),
+locs as (select project, path, sum(loc) as loc{1} from own group by all),
+f as (select project, path, loc, {0} as cyclomatic, coalesce(n, 0) as functions, coalesce(top, 0) as max_complexity, case when coalesce(n, 0) > 0 then total / n::double else 1.0::double end as average from locs left join per using (project, path)),
+files as (select *, floor(greatest(0.0::double, least(100.0::double, 171 - 5.2::double * ln(average + 1) - 0.23::double * average - 16.2::double * ln(loc + 1))) + 0.5)::int as maintainability from f)"""
+_RATED_TS = _RATED.format("greatest(coalesce(total, 0), 1)", "")
+_RATED_PY = _RATED.format("points + 1", ", sum(points) as points")
+
+
+def _rated(spark: SparkSession, sf: str, language: str) -> tuple[DataFrame, DataFrame]:
+    files = samples.source_files(spark, sf, language)
+    funcs = complexity.functions(files, language)
+    return complexity.file_complexity(funcs, complexity.code_lines(files, language), complexity.python_files(files) if language == "python" else None), funcs
+
+
+def _complexity(language: str, rated: str) -> None:
+    def files(spark, sf):
+        return complexity.ranked_files(_rated(spark, sf, language)[0]).withColumn("cyclomatic", F.col("cyclomatic").cast("bigint"))
+
+    def summary(spark, sf):
+        return complexity.complexity_summary(_rated(spark, sf, language)[0], 6)
+
+    def hotspots(spark, sf):
+        return complexity.complexity_hotspots(*_rated(spark, sf, language), 4)
+
+    files_sql = " select project, path, loc::bigint as loc, cyclomatic::bigint as cyclomatic, functions, max_complexity, average, maintainability, row_number() over (partition by project order by cyclomatic desc, path) as rank from files"
+    summary_sql = """ select project, count(*) as files, sum(functions)::bigint as functions, sum(cyclomatic)::bigint as total_complexity, avg(cyclomatic) as average_complexity, count(*) filter (cyclomatic < 6) as low,
+      count(*) filter (cyclomatic >= 6 and cyclomatic < 12) as medium, count(*) filter (cyclomatic >= 12 and cyclomatic < 24) as high, count(*) filter (cyclomatic >= 24) as very_high from files group by project"""
+    hotspots_sql = """, spots as (
+      select project, path, null as "function", 1 as line, cyclomatic as complexity, 8 as threshold, 'File has very high total complexity (' || cyclomatic::bigint::varchar || ')' as reason, case when cyclomatic >= 16 then 'critical' else 'high' end as priority, 0 as kind from files where cyclomatic >= 8
+      union all select project, path, name, start_line, complexity, 4, 'Function ''' || name || ''' has complexity ' || complexity::varchar || ' (threshold: 4)', case when complexity >= 12 then 'critical' when complexity >= 8 then 'high' when complexity >= 6 then 'medium' else 'low' end, 1 from functions where complexity >= 4
+      union all select project, path, null, 1, cyclomatic, 20, 'Low maintainability index (' || maintainability::varchar || '/100)', case when maintainability < 10 then 'critical' else 'high' end, 2 from files where maintainability < 20)
+      select project, path, "function", line::int as line, complexity::bigint as complexity, threshold::int as threshold, reason, priority, row_number() over (partition by project order by list_position(['critical', 'high', 'medium', 'low'], priority), path, kind, line, "function")::int as seq from spots"""
+    for run, tag, sql in ((files, "files", files_sql), (summary, "summary", summary_sql), (hotspots, "hotspots", hotspots_sql)):
+        run.__name__ = f"{language}_complexity_{tag}"
+        _query(samples.sql(language, rated + sql))(run)
+
+
+_complexity("typescript", _RATED_TS)
+_complexity("python", _RATED_PY)
+
+
+def _deps(spark: SparkSession, sf: str, language: str) -> DataFrame:
+    return code.dependencies(_found(spark, sf, language), samples.source_files(spark, sf, language), language)
+
+
+def _dependencies(language: str) -> None:
+    head = f"with {samples.specifiers_sql(language)}, {samples.USES}, {samples.DEPENDENCIES}"
+
+    def deps(spark, sf):
+        return _deps(spark, sf, language)
+
+    def edges(spark, sf):
+        return code.import_edges(_deps(spark, sf, language), include_external=True)
+
+    def external(spark, sf):
+        return modules.external_dependencies(_deps(spark, sf, language))
+
+    category = "case when package in ('react', 'django') then 'framework' when package = '@types/dev' then 'dev' when package in ('lodash', 'dayjs') then 'utility' else 'library' end"
+    external_sql = f" select *, {category} as category, row_number() over (partition by project order by usage_count desc, package) as rank from (select project, package, count(distinct src) as used_by, count(*) as usage_count from deps where type = 'external' group by all)"
+    edges_sql = " select project, src, case type when 'external' then package else target end as dst, 1::bigint as weight from deps where type <> 'builtin'"
+    for run, tag, sql in ((deps, "dependencies", " select project, src, specifier, type, target, package from deps"), (edges, "import_edges", edges_sql), (external, "external_packages", external_sql)):
+        run.__name__ = f"{language}_{tag}"
+        _query(samples.sql(language, head + sql))(run)
+
+
+_dependencies("typescript")
+_dependencies("python")
+
+
 def queries() -> dict[str, Q]:
     return dict(_QUERIES)
 

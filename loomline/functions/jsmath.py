@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,14 @@ def full_days(later: Column, earlier: Column) -> Column:
     return (F.when(seconds >= 0, F.floor(seconds / 86400)).otherwise(F.ceil(seconds / 86400))).cast("bigint")
 
 
+def nearest_rank(df: DataFrame, group: str, value: str, percent: float) -> DataFrame:
+    """(group, value): the value at rank ceil(percent / 100 * n), the first at least. Equal values are counted before they are put in order; nulls do not count."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(group)
+    run = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy(value)), "_rank": F.greatest(F.ceil(F.lit(percent / 100) * F.sum("_n").over(whole)), F.lit(1))})
+    return run.filter("_upto >= _rank").groupBy(group).agg(F.min(value).alias(value))
+
+
 def divided(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.when(b != 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))

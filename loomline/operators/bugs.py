@@ -50,13 +50,15 @@ def _changes(commits: DataFrame, patches: DataFrame, since: Column | None, patte
 
 
 def suspected_commits(commits: DataFrame, patches: DataFrame, pattern: str, since: Column | None = None) -> DataFrame:
-    """Commits that add lines fitting the pattern, per file, with score and reason."""
+    """Commits that add lines fitting the pattern, per file, with score and reason; the most suspicious of a file has rank 1, ties by time and hash."""
     hits = _changes(commits, patches, since, pattern).filter("matched > 0")
     n = F.col("added") + F.col("removed")
-    return hits.select(
+    order = Window.partitionBy("repo", "path").orderBy(F.col("suspicion_score").desc(), "ts", "hash")
+    found = hits.select(
         *KEYS, "author", "ts", "message", F.col("matched").alias("matched_lines"), "matched_patterns", "affected_lines",
         suspicion_score(F.col("message"), F.col("matched"), n).cast("bigint").alias("suspicion_score"), suspicion_reason(F.col("message"), F.col("matched"), n).alias("reason"),
     )
+    return found.withColumn("rank", F.row_number().over(order))
 
 
 def change_timeline(commits: DataFrame, patches: DataFrame, since: Column | None = None) -> DataFrame:

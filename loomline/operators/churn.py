@@ -32,7 +32,9 @@ def rank_threshold(files: DataFrame, value: str, share: float) -> DataFrame:
 
 
 def file_churn(commits: DataFrame, file_changes: DataFrame, as_of: Column, days: int = 30, min_changes: int = 3, percentile: int = 80) -> DataFrame:
-    """Per file that changed min_changes times or more: counts, authors, last change, rate a day and whether it is a hotspot."""
+    """Per file that changed min_changes times or more: counts, authors, last change, rate a day and whether it is a hotspot. days is 1 to 365, min_changes 1 at least."""
+    if not 1 <= days <= 365 or min_changes < 1:
+        raise ValueError("days is 1 to 365, min_changes 1 at least")
     changed = changes_in(commits, file_changes, as_of, days)
     files = changed.groupBy("repo", "path").agg(
         F.count(F.lit(1)).alias("change_count"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"),

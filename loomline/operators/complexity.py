@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,28 +26,32 @@ _HEAD = re.compile(
 )
 
 
-def _closing(s: str, at: int, pair: str) -> int:
-    depth = 0
-    for k in range(at, len(s)):
-        depth += (s[k] == pair[0]) - (s[k] == pair[1])
-        if not depth:
-            return k
-    return len(s) - 1
+def _pairs(s: str) -> dict[int, int]:
+    """Where each round and curly bracket is closed; those left open end with the text."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {"(": [], "{": []}
+    for m in re.finditer(r"[(){}]", s):
+        if m[0] in open_:
+            open_[m[0]].append(m.start())
+        elif stack := open_["(" if m[0] == ")" else "{"]:
+            out[stack.pop()] = m.start()
+    return out | {k: len(s) - 1 for stack in open_.values() for k in stack}
 
 
 def js_functions(text: str) -> list[dict]:
     """Named functions with their lines, decision points (those of functions inside count too), parameters and deepest nesting."""
     _, s = strip_js(text)
-    out = []
+    out, closes = [], _pairs(s)
+    line_of = [0, *(m.end() for m in re.finditer("\n", s))]
     for m in _HEAD.finditer(s):
         name = m["f"] or m["v"] or m["m"]
         if not name or name in {"if", "for", "while", "switch", "catch", "return", "function"}:
             continue
         opened = m.end() - 1
-        closed = _closing(s, opened, "()")
+        closed = closes[opened]
         brace = re.compile(r"\s*(?::[^={;]+?)?\s*(?:=>\s*)?\{").match(s, closed + 1)
         if brace:
-            end = _closing(s, brace.end() - 1, "{}")
+            end = closes[brace.end() - 1]
             body = s[brace.end() : end]
         else:
             arrow = re.compile(r"\s*(?::[^={;]+?)?\s*=>").match(s, closed + 1)
@@ -62,60 +67,71 @@ def js_functions(text: str) -> list[dict]:
                 depth += 1
                 deepest = max(deepest, depth) if w[0] != "{" else deepest
         inside = s[opened + 1 : closed]
-        flat = re.sub(r"\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>", "", inside)
-        out.append({"name": name, "start_line": s.count("\n", 0, m.start()) + 1, "end_line": s.count("\n", 0, end) + 1, "complexity": 1 + js_points(body), "parameter_count": len([p for p in flat.split(",") if p.strip()]) if inside.strip() else 0, "max_nesting": deepest})
+        flat, more = inside, 1
+        while more:  # brackets from the innermost out; what stands in them counts as one
+            flat, more = re.subn(r"\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>", "_", flat)
+        out.append({"name": name, "start_line": bisect_right(line_of, m.start()), "end_line": bisect_right(line_of, end), "complexity": 1 + js_points(body), "parameter_count": len([p for p in flat.split(",") if p.strip()]) if inside.strip() else 0, "max_nesting": deepest})
     return out
 
 
-def python_functions(text: str) -> list[dict]:
-    """One-line `def`s. A new one or a line indented no deeper ends the one before; an outer function's rest after an inner one is not counted."""
-    out: list[dict] = []
-    now: dict | None = None
-    lines = text.split("\n")
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
 
-    def close(end: int) -> None:
-        if now:
-            out.append({k: v for k, v in now.items() if k != "indent"} | {"end_line": end})
 
-    for k, line in enumerate(lines):
-        bare = line.strip()
-        indent = len(line) - len(line.lstrip())
-        if head := re.match(r"def\s+(\w+)\s*\(([^)]*)\)", bare):
-            close(k)
-            params = [p for p in head[2].split(",") if p.strip() and not p.strip().startswith("self")]
-            now = {"name": head[1], "start_line": k + 1, "complexity": 1, "parameter_count": len(params), "max_nesting": 0, "indent": indent}
-            continue
-        if now and bare and not bare.startswith("#") and indent <= now["indent"]:
-            close(k)
-            now = None
-        if now:
-            now["complexity"] += bool(re.match(r"(if|elif|while|for)\s", bare)) + bool(re.match(r"except(\s|:)", bare)) + len(re.findall(r"\s(?:and|or)\s", bare))
-    close(len(lines))
-    return out
+def _numbered(files: DataFrame) -> DataFrame:
+    """(project, path, pos from 0, line, t: the line trimmed, indent) of every line."""
+    rows = files.select("project", "path", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("pos", "line"))
+    return rows.withColumns({"t": _trimmed(F.col("line")), "indent": F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))})
+
+
+def _fits(form: str) -> Column:
+    return F.when(F.col("t").rlike(form), 1).otherwise(0)
+
+
+def python_functions(files: DataFrame) -> DataFrame:
+    """Functions of Python files whose `def` and parameters stand on one line, by windows over the numbered lines.
+
+    A line belongs to the last `def` above it. The function ends before its first line of code that is indented no deeper,
+    or else with its lines; what follows an inner function is so not counted for the outer one.
+    """
+    form = r"^def\s+(\w+)\s*\(([^)]*)\)"
+    part = lambda k: F.regexp_extract("t", form, k)
+    named = F.filter(F.transform(F.split(part(2), ","), _trimmed), lambda p: (p != "") & ~p.startswith("self"))
+    lines = _numbered(files).withColumn("def", F.when(F.col("t").rlike(form), F.struct("pos", "indent", part(1).alias("name"), F.size(named).alias("params"))))
+    above = Window.partitionBy("project", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = lines.withColumn("of", F.last("def", ignorenulls=True).over(above)).filter("of is not null")
+    beyond = F.col("def").isNull() & (F.col("t") != "") & ~F.col("t").startswith("#") & (F.col("indent") <= F.col("of.indent"))
+    within = Window.partitionBy("project", "path", "of.pos")
+    ended = owned.withColumn("stop", F.min(F.when(beyond, F.col("pos"))).over(within))
+    inside = F.col("def").isNull() & (F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
+    points = _fits(r"^(if|elif|while|for)\s") + _fits(r"^except(\s|:)") + F.regexp_count("t", F.lit(r"\s(and|or)\s"))
+    per = ended.groupBy("project", "path", "of").agg(F.coalesce(F.min("stop"), F.max("pos") + 1).alias("end_line"), (1 + F.sum(F.when(inside, points).otherwise(0))).alias("complexity"))
+    whole = lambda c: F.col(c).cast("int")
+    return per.select("project", "path", "of.name", (whole("of.pos") + 1).alias("start_line"), whole("end_line").alias("end_line"), whole("complexity").alias("complexity"), whole("of.params").alias("parameter_count"), F.lit(0).alias("max_nesting"))
 
 
 FUNCTION = "project string, path string, name string, start_line int, end_line int, complexity int, parameter_count int, max_nesting int"
 
 
 def functions(files: DataFrame, language: str) -> DataFrame:
+    """(project, path, name, lines, complexity, parameters, nesting) of every function. Null content has none."""
+    if language == "python":
+        return python_functions(files)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FUNCTION.split(", ")]
         for b in batches:
-            rows = [f | {"project": p, "path": q} for p, q, t in zip(b["project"], b["path"], b["content"], strict=True) for f in (python_functions if language == "python" else js_functions)(t or "")]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([f | {"project": p, "path": q} for p, q, t in zip(b["project"], b["path"], b["content"], strict=True) for f in js_functions(t or "")], columns=names)
 
     return files.select("project", "path", "content").mapInPandas(run, FUNCTION)
 
 
 def python_files(files: DataFrame) -> DataFrame:
     """Per Python file: complexity, functions and classes, from its lines alone."""
-    lines = files.select("project", "path", F.explode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("line")).withColumn("t", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
-    t = F.col("t")
-    used = (t != "") & ~t.startswith("#")
-    one = lambda form: F.when(t.rlike(form), 1).otherwise(0)
-    points = one(r"^(if|elif|while|for)\s") + one(r"^except(\s|:)") + F.regexp_count(t, F.lit(r"\s(and|or)\s")) + one(r"\sif\s.+\selse\s")
-    return lines.groupBy("project", "path").agg(
-        (1 + F.sum(F.when(used, points).otherwise(0))).alias("complexity"), F.count_if(used & t.rlike(r"^def\s+\w+")).alias("functions"), F.count_if(used & t.rlike(r"^class\s+\w+")).alias("classes"), F.count_if(used).alias("loc"),
+    used = (F.col("t") != "") & ~F.col("t").startswith("#")
+    points = _fits(r"^(if|elif|while|for)\s") + _fits(r"^except(\s|:)") + F.regexp_count("t", F.lit(r"\s(and|or)\s")) + _fits(r"\sif\s.+\selse\s")
+    return _numbered(files).groupBy("project", "path").agg(
+        (1 + F.sum(F.when(used, points).otherwise(0))).alias("complexity"), F.sum(F.when(used, _fits(r"^def\s+\w+")).otherwise(0)).alias("functions"), F.sum(F.when(used, _fits(r"^class\s+\w+")).otherwise(0)).alias("classes"), F.count_if(used).alias("loc"),
     )
 
 
@@ -152,6 +168,11 @@ def file_complexity(funcs: DataFrame, loc: DataFrame, totals: DataFrame | None =
     return full.withColumn("maintainability", maintainability(F.col("average"), F.col("loc"))).drop("sum")
 
 
+def ranked_files(files: DataFrame) -> DataFrame:
+    """file_complexity with rank: the most complex file of a project first, ties by path."""
+    return files.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.col("cyclomatic").desc(), "path")))
+
+
 def complexity_summary(files: DataFrame, threshold: int = 10) -> DataFrame:
     """Per project: files, functions, total and mean complexity, and files below 1, 2 and 4 thresholds and above."""
     c = F.col("cyclomatic")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import language
+
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -44,6 +46,23 @@ def diff_lines(patches: DataFrame, keys: list[str], skip_markers: bool = False)
     return numbered.filter("_body").drop("_body")
 
 
+def split_diff(diffs: DataFrame, keys: list[str]) -> DataFrame:
+    """diffs(keys, diff) of many files to one row per file: file_ix, filename, language, additions, deletions, patch.
+
+    A file begins with its `diff --git` line. Its name is that of the `+++` line, or else of the `---` line or the header;
+    a deleted file is so named /dev/null. Text before the first file is left out; null has no files.
+    """
+    parts = F.filter(F.split(F.coalesce("diff", F.lit("")), r"(?m)^(?=diff --git )"), lambda p: p.startswith("diff --git "))
+    files = diffs.select(*keys, F.posexplode(parts).alias("file_ix", "text"))
+    found = lambda form: F.nullif(F.regexp_extract("text", form, 1), F.lit(""))
+    name = F.coalesce(found(r"(?m)^\+\+\+ (?:b/)?([^\t\r\n]+)"), found(r"(?m)^--- (?:a/)?([^\t\r\n]+)"), found(r"^diff --git a/.+? b/([^\r\n]+)"), F.lit("unknown"))
+    body = F.when(F.col("text").rlike(r"(?m)^@@ "), F.regexp_replace("text", r"(?s)^.*?\n(?=@@ )", "")).otherwise(F.lit(""))
+    lines = F.split("patch", "\n")
+    count = lambda sign: F.size(F.filter(lines, lambda x: x.startswith(sign))).cast("bigint")
+    return files.select(*keys, F.col("file_ix").cast("int").alias("file_ix"), name.alias("filename"), F.regexp_replace(body, r"\n$", "").alias("patch")).select(
+        *keys, "file_ix", "filename", language(F.col("filename")).alias("language"), count("+").alias("additions"), count("-").alias("deletions"), "patch")
+
+
 def added_lines(lines: DataFrame) -> DataFrame:
     return lines.filter("type = 'add'").drop("old_line", "type").withColumnRenamed("new_line", "line")
 

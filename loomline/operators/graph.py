@@ -294,6 +294,9 @@ def cycle_summary(found: DataFrame) -> DataFrame:
 
 
 def top_cycles(found: DataFrame, most: int = 20) -> DataFrame:
+    """The most severe cycles of each project, `most` of them (1 at least), numbered by seq."""
+    if most < 1:
+        raise ValueError("most is 1 at least")
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
     order = F.row_number().over(Window.partitionBy("project").orderBy(rank, "component"))
     return found.withColumn("seq", order).filter(F.col("seq") <= most)

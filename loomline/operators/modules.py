@@ -117,6 +117,7 @@ def architecture_style(files: DataFrame) -> DataFrame:
 
 
 def external_dependencies(dependencies: DataFrame) -> DataFrame:
-    """dependencies(project, src, type, package) to one row per external package: users, uses, category."""
+    """dependencies(project, src, type, package) to one row per external package: users, uses, category, and rank by uses within the project (ties by name)."""
     own = dependencies.filter("type = 'external'")
-    return own.groupBy("project", "package").agg(F.countDistinct("src").alias("used_by"), F.count(F.lit(1)).alias("usage_count")).withColumn("category", paths.dependency_category(F.col("package")))
+    found = own.groupBy("project", "package").agg(F.countDistinct("src").alias("used_by"), F.count(F.lit(1)).alias("usage_count")).withColumn("category", paths.dependency_category(F.col("package")))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.col("usage_count").desc(), "package")))

@@ -30,6 +30,7 @@ def issue_suggestions(issues: DataFrame) -> DataFrame:
     return own.select("pr_id", "issue_id", "filename", "line", F.col("suggestion").alias("reason"), F.coalesce(kinds[F.col("category")], F.lit("refactor")).alias("type"), F.when(F.col("severity") == "critical", "high").otherwise("medium").alias("confidence"))
 
 
+# What makes a file sensitive or configuration, and the sentences about risk and comments below, with their limits.
 def sensitive(filename: Column) -> Column:
     return filename.rlike(r"(?i)\.(env|pem|key|secret|credential|password|auth)") | filename.rlike(r"(?i)(config|secret|credential|password|auth)")
 
@@ -105,7 +106,7 @@ def merged_comments(issue_comments: DataFrame, review_comments: DataFrame) -> Da
 
 
 def pr_details(pull_requests: DataFrame, files: DataFrame, comments: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Per pull request: its files by status, comments, and reviews by state."""
+    """Per pull request: its files by the four usual statuses, comments, and reviews by the three usual states; counts() has every status and state."""
     status = files.groupBy("pr_id").agg(
         F.count(F.lit(1)).alias("n_files"), *[F.count_if(F.col("status") == s).alias(s) for s in ("added", "modified", "removed", "renamed")],
     )
@@ -116,6 +117,11 @@ def pr_details(pull_requests: DataFrame, files: DataFrame, comments: DataFrame,
     return full.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
 
 
+def counts(rows: DataFrame, by: str) -> DataFrame:
+    """(pr_id, by, n): how often each value occurs, whatever the values are; null is a value."""
+    return rows.groupBy("pr_id", by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def comment_errors(comments: DataFrame) -> DataFrame:
     """comments with an array of what is wrong; any entry keeps a comment from being sent."""
     line, path, start, reply = (F.col(c) for c in ("line", "path", "start_line", "in_reply_to"))
@@ -157,11 +163,11 @@ def code_block_body(description: Column, code: Column, language: Column) -> Colu
 MARKS = {"critical": ":rotating_light:", "high": ":warning:", "medium": ":large_orange_diamond:", "low": ":information_source:", "info": ":bulb:"}
 
 
-def body_with_metadata(body: Column, severity: Column, category: Column, automated: Column, issue_id: Column) -> Column:
-    """The body under a line of severity and category, with a note and an issue id where they are given."""
+def body_with_metadata(body: Column, severity: Column, category: Column, automated: Column, issue_id: Column, author: str = "") -> Column:
+    """The body under a line of severity and category, with a note (that names its author, if one is given) and an issue id where they are wanted."""
     mark = F.lit(":speech_balloon:")
     for name, sign in MARKS.items():
         mark = F.when(F.lower(severity) == name, F.lit(sign)).otherwise(mark)
     head = F.concat(F.coalesce(F.concat(mark, F.lit(" **"), F.upper(severity), F.lit("**")), F.lit("")), F.coalesce(F.concat(F.lit("["), category, F.lit("]")), F.lit("")))
-    note = F.when(automated, F.lit("\n\n---\n*This comment was generated automatically by Code Review Assistant*")).otherwise(F.lit(""))
+    note = F.when(automated, F.lit("\n\n---\n*This comment was generated automatically" + (f" by {author}" if author else "") + "*")).otherwise(F.lit(""))
     return F.concat(head, F.when(head != "", F.lit("\n\n")).otherwise(F.lit("")), body, note, F.coalesce(F.concat(F.lit("\n<!-- issue-id: "), issue_id, F.lit(" -->")), F.lit("")))

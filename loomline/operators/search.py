@@ -32,17 +32,20 @@ def search_commits(commits: DataFrame, file_changes: DataFrame, query: str, auth
         own = own.filter(F.col("ts") >= since)
     if until is not None:
         own = own.filter(F.col("ts") <= until)
-    text = F.lower(F.concat_ws(" ", "message", F.coalesce("body", F.lit(""))))
     if terms:
         own = own.filter(F.lower(F.concat_ws("\n", "message", F.coalesce("body", F.lit("")))).contains(terms[0]))
     if max_scan is not None:
         own = own.orderBy(F.col("ts").desc(), "repo", "hash").limit(max_scan)
-    wanted = longer_words(F.lit(query))
-    score = half_up((similarity(wanted, longer_words(F.col("message"))) * F.lit(0.7) + similarity(wanted, longer_words(F.col("body"))) * F.lit(0.3)) * F.lit(100.0)).cast("int")
+    # the word sets and the text are made once: each is used several times below, so they stay a projection of their own
+    words = own.select(
+        "repo", "hash", "author", "ts", "message", longer_words(F.lit(query)).alias("wanted"), longer_words(F.col("message")).alias("m"), longer_words(F.col("body")).alias("b"),
+        F.lower(F.concat_ws(" ", "message", F.coalesce("body", F.lit("")))).alias("text"),
+    )
+    score = half_up((similarity(F.col("wanted"), F.col("m")) * F.lit(0.7) + similarity(F.col("wanted"), F.col("b")) * F.lit(0.3)) * F.lit(100.0)).cast("int")
     any_term = F.lit(False)
     for t in terms:
-        any_term = any_term | text.contains(t)
-    kept = own.withColumn("score", score).filter((F.col("score") > 0) | any_term)
+        any_term = any_term | F.col("text").contains(t)
+    kept = words.withColumn("score", score).filter((F.col("score") > 0) | any_term)
     best = kept.select("repo", "hash", "author", "ts", "message", F.greatest("score", F.lit(10)).alias("relevance")).orderBy(F.col("relevance").desc(), F.col("ts").desc(), "repo", "hash").limit(limit)
     sizes = file_changes.join(F.broadcast(best.select("repo", "hash")), ["repo", "hash"]).groupBy("repo", "hash").agg(
         F.count(F.lit(1)).alias("files_changed"), F.sum(F.when(~F.col("binary"), F.col("insertions")).otherwise(0)).alias("insertions"), F.sum(F.when(~F.col("binary"), F.col("deletions")).otherwise(0)).alias("deletions"),

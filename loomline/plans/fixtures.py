@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import LANGUAGES
+
 AS_OF = "2001-08-01 00:00:00"
 FOLDERS = ("src/api", "src/services", "src/models", "src/utils", "lib", "docs", "tests", "config")
 EXTENSIONS = (".ts", ".js", ".py", ".md", ".json")
@@ -68,6 +70,53 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def message_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files changed by each of messages()."""
+    d = F.col("doc_id")
+    own = read(spark, sf_dir, "documents").select(F.col("lang").alias("repo"), "doc_id", F.explode(F.array(F.lit(0), F.lit(3))).alias("k"))
+    return own.select("repo", d.cast("string").alias("hash"), _path(d + F.col("k")).alias("path"), (d % 50 + F.col("k")).alias("insertions"), (d % 7).alias("deletions"), ((d + F.col("k")) % 11 == 0).alias("binary"))
+
+
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path) with every known ending, and names without one, by turns."""
+    endings = [*LANGUAGES, ".TSX", ".unknown", "", ".Dockerfile"]
+    d = F.col("doc_id")
+    return read(spark, sf_dir, "documents").select(F.col("lang").alias("repo"), F.concat(F.lit("dir/f"), d.cast("string"), F.element_at(F.array(*[F.lit(e) for e in endings]), (d % len(endings) + 1).cast("int"))).alias("path"))
+
+
+#: Folders and names of a small tree with package markers and entry points, by document number.
+TREE_NAMES = ("src/api/package.json", "src/api/v1/users.ts", "src/index.ts", "lib/__init__.py", "lib/deep/er/x.py", "docs/a.md", "main.py", "setup.py", "app/server.js", "app/pages/home.js")
+
+
+def marked_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path): ten projects of one root each, with package markers in some folders."""
+    d = F.col("doc_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in TREE_NAMES]), (F.floor(d / 10) % len(TREE_NAMES) + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("t"), (d % 10).cast("string")).alias("project"), F.when(d < 100, name).otherwise(F.concat(F.regexp_replace(name, r"[^/]*$", ""), F.lit("f"), d.cast("string"), F.lit(".ts"))).alias("path"))
+
+
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, record): orders as commits of a git log with numstat rows, as text."""
+    key = lambda c: F.sha1(F.col(c).cast("string").cast("binary"))
+    sign = lambda c: F.when(F.col("l_returnflag") == "R", F.lit("-")).otherwise(F.col(c).cast("int").cast("string"))
+    row = F.concat_ws("\t", sign("l_quantity"), sign("l_linenumber"), F.concat(_path(F.col("l_partkey")), F.lit("."), F.col("l_linenumber").cast("string")))
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    author = F.concat(F.lit("a"), F.col("o_custkey").cast("string"))
+    head = F.concat_ws("|", key("o_orderkey"), author, F.concat(author, F.lit("@mail.example")), F.date_format(F.col("o_orderdate"), "yyyy-MM-dd HH:mm:ss"))
+    return read(spark, sf_dir, "orders").join(rows, "o_orderkey", "left").select(F.concat(F.lit("r"), (F.col("o_orderkey") % 3).cast("string")).alias("repo"), F.concat_ws("\n", head, "rows").alias("record"))
+
+
+def whole_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pr_id, diff): a diff of three files for each document, one new, one changed, one deleted."""
+    d = F.col("doc_id")
+    plus = lambda n: F.array_join(F.array_repeat(F.lit("+x"), n.cast("int")), "\n")
+    head = lambda e: F.concat(F.lit("diff --git a/src/f"), d.cast("string"), F.lit(f"{e} b/src/f"), d.cast("string"), F.lit(f"{e}\n"))
+    old, new = (lambda e: F.concat(F.lit("--- a/src/f"), d.cast("string"), F.lit(f"{e}\n"))), (lambda e: F.concat(F.lit("+++ b/src/f"), d.cast("string"), F.lit(f"{e}\n")))
+    return read(spark, sf_dir, "documents").select(d.alias("pr_id"), F.concat(
+        F.lit("From here\n"), head(".ts"), F.lit("new file mode 100644\n--- /dev/null\n"), new(".ts"), F.lit("@@ -0,0 +1 @@\n"), plus(d % 5 + 1), F.lit("\n"), head(".py"), old(".py"), new(".py"),
+        F.lit("@@ -1,2 +1,9 @@ f\n a\n-b\n"), plus(d % 7 + 1), F.lit("\n@@ -20 +30 @@\n-c\n"), head(".md"), F.lit("deleted file mode 100644\n"), old(".md"), F.lit("+++ /dev/null\n@@ -1,2 +0,0 @@\n-a\n-b\n")).alias("diff"))
+
+
 def _snippet(k):
     return F.element_at(F.array(*[F.lit(x) for x in SNIPPETS]), (F.pmod(k, F.lit(len(SNIPPETS))) + 1).cast("int"))
 
@@ -106,7 +155,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     n = part.agg(F.count(F.lit(1)).alias("n"))
     k = F.col("p_partkey")
-    return part.crossJoin(F.broadcast(n)).filter(k % 5 != 0).select(F.lit("main").alias("project"), k.cast("string").alias("src"), ((k * 7 + 3) % F.col("n")).cast("string").alias("dst"), F.lit(1).cast("bigint").alias("weight"))
+    return part.crossJoin(F.broadcast(n)).select(F.lit("main").alias("project"), k.cast("string").alias("src"), ((k * 7 + 3) % F.col("n")).cast("string").alias("dst"), F.lit(1).cast("bigint").alias("weight"))
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +202,15 @@ SQL = {
     "pr_files": f"select doc_id % 40 as pr_id, doc_id // 40 as file_ix, {_sql_path('doc_id')} as filename, ['added', 'modified', 'removed', 'renamed'][(doc_id % 4 + 1)::int] as status, doc_id % 97 * 7 as additions, doc_id % 31 as deletions, "
     f"'noise before' || chr(10) || '@@ -' || (doc_id % 7 + 1)::varchar || ',3 +' || (doc_id % 11 + 1)::varchar || ',4 @@ head' || chr(10) || ' same' || chr(10) || '+' || {_sql_snippet(0)} || chr(10) || '-old line' || chr(10) || '+' || {_sql_snippet(1)} || chr(10) || '\\ No newline at end of file' || chr(10) || '+' || {_sql_snippet(2)} "
     f"|| chr(10) || '@@ -90 +' || (doc_id % 13 + 100)::varchar || ' @@' || chr(10) || '-gone' || chr(10) || '+' || {_sql_snippet(3)} || chr(10) || '  kept' || chr(10) || '-' || {_sql_snippet(4)} as patch from documents",
-    "edges": "select 'main' as project, p_partkey::varchar as src, ((p_partkey * 7 + 3) % (select count(*) from part))::varchar as dst, 1 as weight from part where p_partkey % 5 <> 0",
+    "edges": "select 'main' as project, p_partkey::varchar as src, ((p_partkey * 7 + 3) % (select count(*) from part))::varchar as dst, 1 as weight from part",
     "tree": f"select 'main' as project, {_sql_path('p_partkey')} as path from part",
     "tree_edges": f"select 'main' as project, {_sql_path('k')} as src, {_sql_path('t')} as dst from (select p_partkey as k, unnest([(p_partkey * 7 + 3) % n + 1, (p_partkey * 3 + 8) % n + 1, (p_partkey + 40) % n + 1]) as t from part, (select count(*) as n from part))",
     "links": "select 'web' as project, url as src, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) as dst from pages",
 }
+SQL["message_changes"] = f"select lang as repo, doc_id::varchar as hash, {_sql_path('(doc_id + k)')} as path, doc_id % 50 + k as insertions, doc_id % 7 as deletions, (doc_id + k) % 11 = 0 as \"binary\" from (select *, unnest([0, 3]) as k from documents)"
+SQL["marked_tree"] = (
+    f"select 't' || (doc_id % 10)::varchar as project, case when doc_id < 100 then name else regexp_replace(name, '[^/]*$', '') || 'f' || doc_id::varchar || '.ts' end as path from (select *, {_sql_list(TREE_NAMES)}[((doc_id // 10) % {len(TREE_NAMES)} + 1)::int] as name from documents)"
+)
 SQL["diff_raw"] = "select pr_id, file_ix, filename, generate_subscripts(l, 1) - 1 as pos, unnest(l) as line from (select *, string_split(patch, chr(10)) as l from pr_files)"
 SQL["diff_hunks"] = "select *, sum((line ~ '^@@ -[0-9]+(,[0-9]+)? \\+[0-9]+(,[0-9]+)? @@.*')::int) over (partition by pr_id, file_ix order by pos) as hunk from diff_raw"
 SQL["diff_heads"] = "select *, first_value(line) over (partition by pr_id, file_ix, hunk order by pos) as h, line[1] = '+' as plus, line[1] = '-' as minus, row_number() over (partition by pr_id, file_ix, hunk order by pos) > 1 as body from diff_hunks where hunk > 0"

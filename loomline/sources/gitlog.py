@@ -13,6 +13,31 @@ def read_text_logs(spark, path: str) -> DataFrame:
     return found.select(name.alias("repo"), F.col("value").alias("log"))
 
 
+#: Separator of records in logs that `git log --pretty=format:%x1e%H|%an|%ae|%ad --numstat` writes: such a log of any size is read in parts.
+RECORD = "\x1e"
+
+
+def read_records(spark, path: str) -> DataFrame:
+    """(repo, record) of logs whose commits begin with RECORD; the repo is the file's name without its ending."""
+    found = spark.read.option("lineSep", RECORD).text(path)
+    name = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), "/", -1), r"\.[^.]*$", "")
+    return found.select(name.alias("repo"), F.col("value").alias("record"))
+
+
+def numstat_records(records: DataFrame, with_email: bool = True) -> tuple[DataFrame, DataFrame]:
+    """records(repo, record), each a header line and its numstat rows, to commits and file_changes; nothing is shuffled."""
+    fields = 4 if with_email else 3
+    lines = F.split(F.regexp_replace("record", r"^\n+", ""), "\n")
+    parts = F.split(lines[0], r"\|")
+    own = records.select("repo", lines.alias("lines"), parts.alias("p")).filter(lines[0].rlike(r"^[0-9a-f]{40}\|") & (F.size(parts) >= fields))
+    commits = own.select(
+        "repo", F.get("p", F.lit(0)).alias("hash"), F.get("p", F.lit(1)).alias("author"), (F.get("p", F.lit(2)) if with_email else F.lit(None).cast("string")).alias("author_email"),
+        F.try_to_timestamp(F.get("p", F.lit(fields - 1))).alias("ts"),
+    )
+    stats = numstat(own.select("repo", F.get("p", F.lit(0)).alias("hash"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line")))
+    return commits, stats.select("repo", "hash", "path", "insertions", "deletions", "binary")
+
+
 def numstat_log(logs: DataFrame, with_email: bool = True) -> tuple[DataFrame, DataFrame]:
     """logs(repo, log) of `hash|author|email|date` lines, each followed by numstat rows, to commits and file_changes.
 
@@ -65,6 +90,24 @@ def stat_line(line: Column) -> Column:
         F.coalesce(F.floor(total * minus / signs + 0.5), F.lit(0)).alias("deletions"), binary.alias("binary")))
 
 
+def stat_rows(output: Column) -> Column:
+    """All rows of a --stat output: path, insertions, deletions, binary. A row whose text also says Bin or Binary gives a second, binary entry."""
+    form = r"^\s*(.+?)\s*\|\s*(\d+)\s*([+-]*)\s*$"
+    zero = F.lit(0).cast("bigint")
+
+    def rows(line: Column) -> Column:
+        signs = F.regexp_extract(line, form, 3)
+        plus, minus = F.length(F.replace(signs, F.lit("-"), F.lit(""))), F.length(F.replace(signs, F.lit("+"), F.lit("")))
+        ratio = F.when(plus + minus > 0, F.regexp_extract(line, form, 2).cast("double") / (plus + minus)).otherwise(0.0)
+        entry = lambda path, a, b, binary: F.struct(path.alias("path"), a.alias("insertions"), b.alias("deletions"), F.lit(binary).alias("binary"))
+        counted = F.when(line.rlike(form), entry(F.trim(F.regexp_extract(line, form, 1)), F.floor(plus * ratio + 0.5), F.floor(minus * ratio + 0.5), False))
+        head = r"^\s*(.+?)\s*\|"
+        second = F.when((line.contains("Bin ") | line.contains("Binary")) & line.rlike(head), entry(F.trim(F.regexp_extract(line, head, 1)), zero, zero, True))
+        return F.array_compact(F.array(counted, second))
+
+    return F.flatten(F.transform(F.split(F.regexp_replace(output, r"^\s+|\s+$", ""), "\n"), rows))
+
+
 def blame_line(line: Column) -> Column:
     form = r"^\^?([0-9a-f]+)\s+(?:\S+\s+)?\((.+?)\s+(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4})\s+(\d+)\)\s?(.*)$"
     part = lambda k: F.regexp_extract(line, form, k)
