@@ -3,8 +3,8 @@
 A byte goes when a string of `length` bytes over it also starts anywhere else. Each window of that length picks one anchor,
 its run of GRAM bytes with the smallest hash (the leftmost), which depends on the window's bytes alone: equal windows have
 equal anchors. Only anchors that occur twice matter. The text around those is sent to hash slices, once for equal
-surroundings in a task, where all windows are brought together by hash and compared by their bytes; windows of very frequent
-anchors are dealt out by a salt, and counted by BLAKE2 digests over the salts afterwards. Equal texts are told by SHA-256
+surroundings in a task. There an induced suffix sort with common prefixes (suffixes.py) finds the windows whose bytes occur
+again; windows of very frequent anchors are dealt out by a salt, and counted by BLAKE2 digests over the salts afterwards. Equal texts are told by SHA-256
 first and compared once.
 """
 
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
+from . import suffixes
 from .common import ARROW_BYTES, WORD, bound_batches, placed, small, spread_join, stage
 
 LENGTH, GRAM = 400, 128
 #: Occurrences of an anchor that one salt takes, and surroundings in a slice, about.
-PER_SALT, PER_SLICE = 1024, 12_000
+PER_SALT, PER_SLICE = 1024, 4_000
 
 U64 = np.uint64
 _BASE = bg.BASE
@@ -203,55 +204,20 @@ def _surroundings(slices: int):
 _FOUND = "window binary, _file bigint, _row bigint, start bigint, size int"
 
 
-def _same_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A class for each window, the same for windows of the same bytes.
-
-    Windows are brought together by hash and compared with the first of their class, in runs: where neighbours' firsts are
-    neighbours too, every byte is compared once. Windows that differ from their first are put in classes by their bytes.
-    """
-    total, down = _sums(data)
-    _, first, which = np.unique(_hashes(total, down, at, LENGTH), return_index=True, return_inverse=True)
-    lead = at[first[which]]
-    own = np.flatnonzero(lead != at)
-    if not len(own):
-        return which
-    x, y = at[own], lead[own]
-    begin = np.flatnonzero(np.concatenate(([True], (np.diff(x) != 1) | (np.diff(y) != 1))))
-    size = np.diff(begin, append=len(own))
-    unlike = np.zeros(len(own), bool)
-    step = max(1, int(np.searchsorted(np.cumsum(size + LENGTH), ARROW_BYTES)))
-    for a in range(0, len(begin), step):
-        b = min(a + step, len(begin))
-        long = size[a:b] + LENGTH - 1
-        within = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-        bad = np.zeros(len(within) + 1, np.int64)
-        np.cumsum(data[np.repeat(x[begin[a:b]], long) + within] != data[np.repeat(y[begin[a:b]], long) + within], out=bad[1:])
-        if bad[-1]:
-            i = np.arange(begin[a], begin[b - 1] + size[b - 1])
-            place = np.repeat(np.cumsum(long) - long, size[a:b]) + np.arange(len(i)) - np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])
-            unlike[i] = bad[place + LENGTH] > bad[place]
-    if unlike.any():
-        raw, classes = data.tobytes(), {}
-        odd = np.flatnonzero(np.isin(which, np.unique(which[own[unlike]])))
-        for k in odd.tolist():
-            which[k] = classes.setdefault(raw[at[k] : at[k] + LENGTH], len(first) + len(classes))
-        _, which = np.unique(which, return_inverse=True)
-    return which
-
-
 def _compare(group: pa.Table) -> pa.Table:
     """Runs of repeated windows (window null), and windows of salted anchors that no other here equals, or one place-less row for those that do."""
-    column = group.column("around").combine_chunks()
-    data, offsets = bg.buffers(column)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    windows = group.column("windows").to_numpy().astype(np.int64)
-    salts = group.column("salts").to_numpy()
-    places = [np.frombuffer(p, _PLACE) for p in group.column("places").to_pylist()]
+    held: dict[bytes, tuple[int, int, list[bytes]]] = {}
+    for around, n, parts, own in zip(*(group.column(c).to_pylist() for c in ("around", "windows", "salts", "places")), strict=True):
+        held.setdefault(around, (n, parts, []))[2].append(own)
+    data = np.frombuffer(b"".join(held), np.uint8)
+    offsets = np.cumsum([0, *map(len, held)])
+    windows, salts = (np.array([x[k] for x in held.values()], np.int64) for k in (0, 1))
+    places = [np.frombuffer(b"".join(x[2]), _PLACE) for x in held.values()]
     copies = np.array([len(p) for p in places])
     of = np.repeat(np.arange(len(windows)), windows)
     within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = offsets[of] + within
-    which = _same_bytes(data, at)
+    which = suffixes.classes(data, at, LENGTH)
     n = np.bincount(which, weights=copies[of])[which]
     twice = n > 1
     begin = np.flatnonzero(twice & np.concatenate(([True], ~twice[:-1] | (of[1:] != of[:-1]))))

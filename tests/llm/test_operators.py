@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm import common, decontaminate, exact, labelled, mixing, ngram_join, quality, repeats, tokens, toxicity, warc
+from loomline.llm import common, decontaminate, exact, labelled, mixing, ngram_join, quality, repeats, suffixes, tokens, toxicity, warc
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -265,22 +265,41 @@ def test_equal_hashes_of_unequal_bytes_remove_nothing(spark):
     tail = lambda one, two: "".join((one, two)[m] for m in morse)
     texts = [(1, head + tail("P", "q")), (2, head + tail("q", "P"))]
     data = np.frombuffer("".join(t for _, t in texts).encode(), np.uint8)
-    assert len(set(repeats._same_bytes(data, np.array([0, 400])).tolist())) == 2
+    assert len(set(suffixes.classes(data, np.array([0, 400]), 400).tolist())) == 2
     rows = got(repeats.without_repeats(spark.createDataFrame([*texts, (3, head + tail("P", "P"))], "doc_id long, text string")))
     assert [r["n_removed"] for r in rows] == [0, 0, 0]
 
 
-def test_windows_in_classes_by_bytes(monkeypatch):
+@pytest.mark.parametrize("memory", [1 << 20, 64])
+def test_suffixes_in_order_with_common_prefixes(memory):
     rng = np.random.default_rng(3)
-    monkeypatch.setattr(repeats, "_hashes", lambda total, down, at, size: at.astype(np.uint64) % np.uint64(3) * np.uint64(0))  # one hash for all
-    data = np.frombuffer(b"ab" * 300 + bytes(rng.integers(97, 99, 700, dtype=np.uint8)) + b"ab" * 300, np.uint8)
-    at = np.concatenate((np.arange(0, 150), np.arange(700, 900), np.arange(1300, 1400)))
-    which = repeats._same_bytes(data, at)
-    raw = data.tobytes()
-    by = {}
-    for k, w in zip(at.tolist(), which.tolist(), strict=True):
-        assert by.setdefault(raw[k : k + 400], w) == w
-    assert len(by) == len(set(which.tolist()))
+    for trial in range(60):
+        t = rng.integers(97, 97 + int(rng.integers(1, 5)), int(rng.integers(1, 120)), dtype=np.uint8)
+        t = np.tile(t, 3) if trial % 3 == 0 else t
+        raw = t.tobytes()
+        order = suffixes.suffix_array(t, memory)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda k: raw[k:])
+        shared = suffixes.common_prefixes(t, order)
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            k = int(shared[b])
+            assert raw[a : a + k] == raw[b : b + k] and raw[a + k : a + k + 1] != raw[b + k : b + k + 1]
+        at = np.arange(max(0, len(raw) - 8))
+        which = suffixes.classes(t, at, 9, memory)
+        by = {}
+        assert all(by.setdefault(raw[k : k + 9], w) == w for k, w in zip(at.tolist(), which.tolist(), strict=True)) and len(by) == len(set(which.tolist()))
+
+
+def test_queues_go_to_disk():
+    queues = suffixes.Queues(memory=1000)
+    rng = np.random.default_rng(1)
+    wanted = defaultdict(list)
+    for k in range(50):
+        first, at = rng.integers(0, 5, 100, dtype=np.uint8), np.arange(100, dtype=np.int32) + 100 * k
+        queues.push(first, at)
+        for c, x in zip(first.tolist(), at.tolist(), strict=True):
+            wanted[c].append(x)
+    assert queues.spilled > 10_000 and queues.held <= 1000
+    assert {c: queues.pop(c).tolist() for c in range(5)} == wanted and queues.pop(0) is None
 
 
 def test_passages_of_over_fifty_words_are_found(spark, docs, texts):
