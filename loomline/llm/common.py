@@ -22,6 +22,8 @@ BROADCAST_BYTES = 16 << 20
 ARROW_BYTES, READER_ROWS = 2 << 20, 512
 
 _left_behind: list[tuple[SparkSession, str]] = []
+#: Staged tables with their folders; the tables are held, so that no other gets the id.
+_staged: dict[int, tuple[DataFrame, str]] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -73,7 +75,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _staged[id(out)] = (out, path.rpartition("/")[0])
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again, before the driver's interpreter does at its end."""
+    if id(df) in _staged:
+        remove(df.sparkSession, _staged.pop(id(df))[1])
 
 
 def placed(docs: DataFrame) -> bool:

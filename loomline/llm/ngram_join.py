@@ -355,7 +355,11 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """docs' own columns, of each component the row with its smallest id; rows without an id stay."""
+    """docs' own columns, of each component the rows with its smallest id.
+
+    Null and empty texts are linked with nothing and stay, as rows without an id do. Rows that share an id stay or go
+    together. An empty table stays empty. Columns of any name and with nulls are carried along.
+    """
     gone = stage(similar_components(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(small(gone, 32), "doc_id", "left_anti").select(*docs.columns)
 

@@ -231,7 +231,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs' own columns, without the documents that score below the threshold."""
+    """docs' own columns, without the documents that score below the threshold.
+
+    Null and empty texts score as an empty document does; null ids are scored and not learned from; repeated rows stay or go
+    together; without labels every row scores 0.5 and stays, and an empty table stays empty. Columns of any name and with
+    nulls are carried along.
+    """
     vectors, net = fit(docs, labels)
     scored = score(docs, vectors, net, docs.columns)
     return scored.filter(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)

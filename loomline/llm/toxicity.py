@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesgrams as bg
-from .common import bound_batches
+from .common import bound_batches, stage
 from .labelled import SAMPLE_ROWS, held_out, sample
 
 #: Hashed terms; factors of each; learned rows that must hold a term; steps of the training at least.
 TERMS, FACTORS, LEAST_ROWS, LEAST_STEPS = 1 << 20, 6, 4, 600
+#: Distinct terms of all learned rows together, at most: what the driver holds. Rows are taken in the order of their ids' hashes until there are so many.
+HELD_TERMS = 20_000_000
 #: Decay of the factors, over the number of learned rows; decay of a linear weight, in standard deviations of its gradient by chance.
 DECAY, CHANCE = 4.0, 0.7
 #: Bytes of the word beginnings that are terms of their own, so that inflected forms share one.
@@ -119,7 +121,7 @@ def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 20, ba
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
-    """Learns on the driver from at most `rows` labelled texts; of each it gets the distinct hashed terms only."""
+    """Learns on the driver from at most `rows` labelled texts and HELD_TERMS terms; of each text it gets the distinct hashed terms only."""
 
     bound_batches(docs.sparkSession)
 
@@ -130,11 +132,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 held = [term[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(held, pa.binary())], names=["doc_id", "label", "terms"]
+                    [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(np.diff(cut), pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "label", "n", "terms"]
                 )
 
     wanted = sample(docs, labels, "toxic", rows).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    got = wanted.mapInArrow(features, "doc_id bigint, label int, terms binary").toPandas().sort_values(["doc_id", "terms"], ignore_index=True)
+    known = stage(wanted.mapInArrow(features, "doc_id bigint, label int, n bigint, terms binary"), "terms")
+    order = F.xxhash64("doc_id").alias("hash")
+    sizes = known.select(order, "doc_id", "n").toPandas().sort_values(["hash", "doc_id"], ignore_index=True)  # three numbers for each learned row
+    many = np.flatnonzero(sizes["n"].cumsum().to_numpy() > HELD_TERMS)
+    if len(many):
+        known = known.filter(F.struct(order, "doc_id") < F.struct(*[F.lit(int(sizes[c][many[0]])).alias(c) for c in ("hash", "doc_id")]))
+    got = known.select("doc_id", "label", "terms").toPandas().sort_values(["doc_id", "terms"], ignore_index=True)
     y, held = got["label"].to_numpy(dtype=float), [np.frombuffer(t, np.int32) for t in got.pop("terms")]
     doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for t in held])
     term = np.concatenate(held) if held else np.zeros(0, np.int32)
