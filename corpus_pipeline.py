@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over `documents`: each takes what its predecessor kept."""
+"""A corpus pipeline of five stages over `documents`: each takes what its predecessor kept.
+
+Every stage takes tables with nulls in any column, empty and very long texts, ties, repeated rows and further columns of any
+name; its docstring, and that of the operator it calls, says what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,46 @@ from loomline.llm.common import stage, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject, with docs' own columns.
+
+    Texts of null or without words score as empty ones, rows without an id are scored, repeated rows stay or go together, and
+    an empty table stays empty.
+    """
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal normalised texts."""
+    """One document of each group of equal normalised texts, with docs' own columns.
+
+    The smallest id stays; a row without an id stays if no other of its group has one, of repeated rows the first where they
+    lie. Texts of null and empty ones are one group. An empty table stays empty.
+    """
     return exact.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar shingle sets."""
+    """One document of each component of similar shingle sets, the one with the smallest id, with docs' own columns.
+
+    Texts without words and rows without an id stay; rows that share an id stay or go together. An empty table stays empty.
+    """
     return ngram_join.one_per_component(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item, with docs' own columns.
+
+    Texts without words contain none; rows without an id go by their text; repeated rows stay or go together. An empty table
+    stays empty.
+    """
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it, with the number of the copy as mix_copy."""
+    """Every document as often as the mixture takes it, with the number of the copy as mix_copy.
+
+    Null is a source of its own, a row without an id draws as the empty id, repeated rows draw alike, and texts without words
+    follow their source's rate. An empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
@@ -43,7 +66,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mixing", mix_sources),
 ]
 
-#: SQL cannot express a trained classifier; the tests hold the stages against brute force.
+#: SQL cannot express a trained classifier; tests/llm/test_pipeline.py has plain versions of the other stages.
 ORACLE_SQL = None
 
 
