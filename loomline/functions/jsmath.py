@@ -26,6 +26,13 @@ def full_days(later: Column, earlier: Column) -> Column:
     return (F.when(seconds >= 0, F.floor(seconds / 86400)).otherwise(F.ceil(seconds / 86400))).cast("bigint")
 
 
+def first_in_order(df: DataFrame, group: str, order: list, key: str, most: int, rank: str = "rank") -> DataFrame:
+    """The first `most` rows of each group in the order, numbered by rank. Rows are ranked in 64 parts by their key first, so that no more than 64 * most rows of a group meet."""
+    early = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
+    early = early.withColumn(rank, F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))).filter(F.col(rank) <= most)
+    return early.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(rank) <= most).drop("_part")
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, percent: float) -> DataFrame:
     """(group, value): the value at rank ceil(percent / 100 * n), the first at least. Equal values are counted before they are put in order; nulls do not count."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsmath import full_days, two_places
+from ..functions.jsmath import first_in_order, full_days, two_places
 
 
 def window_start(as_of: Column, days: int) -> Column:
@@ -68,10 +68,7 @@ def churn_summary(churn: DataFrame, as_of: Column, days: int) -> DataFrame:
 
 def top_hotspots(churn: DataFrame, most: int = 20) -> DataFrame:
     """Per repo the hotspots with the most changes. Only rows that can still be among them reach the last window."""
-    order = [F.col("change_count").desc(), F.col("path")]
-    hot = churn.filter("is_hotspot").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(64)))
-    early = hot.withColumn("rank", F.row_number().over(Window.partitionBy("repo", "salt").orderBy(*order))).filter(F.col("rank") <= most)
-    return early.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).filter(F.col("rank") <= most).drop("salt")
+    return first_in_order(churn.filter("is_hotspot"), "repo", [F.col("change_count").desc(), F.col("path")], "path", most)
 
 
 def directory_of(path: Column) -> Column:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsmath import divided
+from ..functions.jsmath import divided, first_in_order
 
 
 def _shared(spark: SparkSession) -> str:
@@ -298,8 +298,7 @@ def top_cycles(found: DataFrame, most: int = 20) -> DataFrame:
     if most < 1:
         raise ValueError("most is 1 at least")
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
-    order = F.row_number().over(Window.partitionBy("project").orderBy(rank, "component"))
-    return found.withColumn("seq", order).filter(F.col("seq") <= most)
+    return first_in_order(found, "project", [rank, F.col("component")], "component", most, "seq")
 
 
 # What is said of cycles by their severity, number and length, wherever there are any, and where there are none.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.jsmath import divided
+from ..functions.jsmath import divided, first_in_order
 from .churn import directory_of
 from .graph import instability
 
@@ -86,7 +86,7 @@ def group_links(members: DataFrame, edges: DataFrame) -> DataFrame:
 def high_coupling(rated: DataFrame, most: int = 10) -> DataFrame:
     """Per project the files with most imports in and out, ties by path."""
     total = F.col("ca") + F.col("ce")
-    return rated.withColumn("total", total).withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(total.desc(), "path"))).filter(F.col("rank") <= most)
+    return first_in_order(rated.withColumn("total", total), "project", [F.col("total").desc(), F.col("path")], "path", most)
 
 
 def overview_layers(files: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 Edge = tuple[str, str, int]
 
 
-def project_graph(edges: DataFrame, nodes: DataFrame, project: str, most: int | None = 100) -> tuple[list[str], list[Edge], int]:
+def project_graph(edges: DataFrame, nodes: DataFrame, project: str, most: int = 100) -> tuple[list[str], list[Edge], int]:
     """The first nodes by name, the edges among them, and how many nodes there are, of one project."""
     own = nodes.filter(F.col("project") == project)
     total = own.count()
-    first = own.orderBy("node") if most is None else own.orderBy("node").limit(most)
+    first = own.orderBy("node").limit(most)
     names = [r["node"] for r in first.collect()]
     kept = first.select("project", "node")
     inner = edges.join(kept.withColumnRenamed("node", "src"), ["project", "src"], "left_semi").join(kept.withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi")
