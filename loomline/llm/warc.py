@@ -14,10 +14,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, new_path, remove, small, stage
 
-#: Records in a file, its first one included.
-FILE_RECORDS = 4096
+#: Records in a file at most, its first one included, and bytes in a file, about, before it is gzipped.
+FILE_RECORDS, FILE_BYTES = 4096, 32 << 20
 
 #: The fields of a header line by version.
 ARC_FIELDS = {
@@ -48,7 +49,7 @@ def base32_sha1(data: bytes) -> str:
 class ArcRecord(NamedTuple):
     offset: int
     fields: dict[str, str]
-    block: memoryview
+    block: bytes
 
 
 def arc_head(name: str, version: int) -> bytes:
@@ -62,28 +63,41 @@ def arc_record(version: int, url: str, date: str, kind: str, block: bytes) -> by
     return (" ".join(given.get(f, "-") for f in ARC_FIELDS[version]) + "\n").encode() + block
 
 
-def read_arc(content: bytes) -> Iterator[ArcRecord]:
-    """The records of a file, the version record left out. ValueError if a header line or a length does not fit."""
-    view, at, version, size = memoryview(content), 0, 0, len(content)
-    while at < size:
-        if content[at : at + 1] == b"\n":
-            at += 1
+def _taken(stream: BinaryIO, size: int, at: int) -> bytes:
+    got = stream.read(size)
+    if len(got) < size:
+        raise ValueError(f"the record at {at} is cut off")
+    return got
+
+
+def read_arc(content: bytes | BinaryIO) -> Iterator[ArcRecord]:
+    """The records of a file, the version record left out, one in memory at a time. ValueError if a header line or a length does not fit."""
+    stream = io.BytesIO(content) if isinstance(content, bytes) else content
+    at, version = 0, 0
+    while line := stream.readline():
+        begin, at = at, at + len(line)
+        if line == b"\n":
             continue
-        end = content.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"no end of the header line at {at}")
-        parts = content[at:end].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
+        if not line.endswith(b"\n"):
+            raise ValueError(f"no end of the header line at {begin}")
+        parts = line[:-1].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
         if not version:
-            version = int(content[end + 1 : content.find(b" ", end + 1)])
-            if version not in ARC_FIELDS or not parts[0].startswith("filedesc://"):
+            # the version record's own header has the fields of the version that its body names
+            size = int(parts[-1]) if parts[0].startswith("filedesc://") and parts[-1].isdigit() else 0
+            body = _taken(stream, size, begin)
+            named = body.split(b" ", 1)[0]
+            version = int(named) if named.isdigit() else 0
+            if version not in ARC_FIELDS:
                 raise ValueError("the file does not begin with a version record of version 1 or 2")
+            block = body
         names = ARC_FIELDS[version]
-        if len(parts) != len(names) or not parts[-1].isdigit() or end + 1 + int(parts[-1]) > size:
-            raise ValueError(f"bad header line at {at}")
-        stop = end + 1 + int(parts[-1])
+        if len(parts) != len(names) or not parts[-1].isdigit():
+            raise ValueError(f"bad header line at {begin}")
+        if begin:
+            block = _taken(stream, int(parts[-1]), begin)
+        at += len(block)
         if not parts[0].startswith("filedesc://"):
-            yield ArcRecord(at, dict(zip(names, parts, strict=True)), view[end + 1 : stop])
-        at = stop
+            yield ArcRecord(begin, dict(zip(names, parts, strict=True)), block)
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -116,34 +130,41 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + block
 
 
-def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record."""
+def read_warc(content: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record, one in memory at a time."""
+    stream = io.BytesIO(content) if isinstance(content, bytes) else content
     at = 0
-    while at < len(content):
-        if content[at : at + 2] == b"\r\n":
-            at += 2
+    while line := stream.readline():
+        begin, at = at, at + len(line)
+        if line == b"\r\n":
             continue
-        end = content.find(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        stop = end + 4 + int(headers["content-length"])
-        if stop > len(content):
-            raise ValueError(f"the record at {at} is cut off")
-        yield headers, content[end + 4 : stop]
-        at = stop
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record at {begin}")
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            at += len(line)
+            key, _, value = line.decode("utf-8", "surrogateescape").partition(":")
+            headers[key.lower()] = value.strip()
+        block = _taken(stream, int(headers["content-length"]), begin)
+        at += len(line) + len(block)
+        yield headers, block
+
+
+def records_per_file(pages: DataFrame) -> int:
+    """How many records of mean size make FILE_BYTES, FILE_RECORDS at most."""
+    mean = pages.agg(F.avg(F.octet_length("html") + 512)).first()[0] or 512
+    return int(max(2, min(FILE_RECORDS, FILE_BYTES // mean)))
 
 
-def _write(rows: DataFrame, path: str, ending: str) -> None:
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", ending).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def _write(rows: DataFrame, path: str, ending: str, per_file: int) -> None:
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", ending).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def write_arc(pages: DataFrame, path: str) -> None:
+def write_arc(pages: DataFrame, path: str, per_file: int = FILE_RECORDS) -> None:
     """pages(page_id, url, html) as gzipped ARC files, of versions 1 and 2 in turn by partition. Null html is empty; a null id is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +174,8 @@ def write_arc(pages: DataFrame, path: str) -> None:
             for a in range(0, len(batch), 256):
                 out = []
                 for page, url, html in zip(*(batch.column(c).slice(a, 256).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                    if n % FILE_RECORDS == 0:
-                        out.append(arc_head(f"pages-{part:05d}-{n // FILE_RECORDS:05d}.arc", version))
+                    if n % per_file == 0:
+                        out.append(arc_head(f"pages-{part:05d}-{n // per_file:05d}.arc", version))
                         n += 1
                     payload = (html or "").encode()
                     own = "" if page is None else f"X-Page-Id: {page}\r\n"
@@ -164,7 +185,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    _write(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "record binary"), path, "\n")
+    _write(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "record binary"), path, "\n", per_file)
 
 
 def _arc_rows(spark: SparkSession, path: str, with_blocks: bool) -> DataFrame:
@@ -175,8 +196,8 @@ def _arc_rows(spark: SparkSession, path: str, with_blocks: bool) -> DataFrame:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 file = name.as_py().rpartition("/")[2]
                 held: list[tuple] = []
-                for r in read_arc(gzip.decompress(content.as_buffer())):
-                    block = bytes(r.block)
+                for r in read_arc(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))):
+                    block = r.block
                     head, payload = split_http(block)
                     page = http_field(head, b"X-Page-Id")
                     held.append((file, r.offset, None if page is None else int(page), base32_sha1(payload), *((r.fields["url"], r.fields["date"], block) if with_blocks else ())))
@@ -193,7 +214,7 @@ def _arc_rows(spark: SparkSession, path: str, with_blocks: bool) -> DataFrame:
     return _files(spark, path).mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in kinds))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: int = 0) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: int = 0, per_file: int = FILE_RECORDS) -> None:
     """ARC files to gzipped WARC files. Of records with equal payloads of at least least_revisit bytes the one with the largest
     page id (then file and offset) is the response; records without a page id come last. The others are revisits of it."""
     found = stage(_arc_rows(spark, arc_path, False), "arc")
@@ -207,7 +228,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: i
             for a in range(0, len(batch), 256):
                 out = []
                 for file, offset, digest, url, date, block, to_file, to_offset in zip(*(batch.column(c).slice(a, 256).to_pylist() for c in ("file", "offset", "digest", "url", "date", "block", "to_file", "to_offset")), strict=True):
-                    if n % FILE_RECORDS == 0:
+                    if n % per_file == 0:
                         info = b"software: loomline\r\nformat: WARC File Format 1.1\r\n"
                         out.append(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f"info {file}", offset)), ("WARC-Date", iso_date(date)), ("Content-Type", "application/warc-fields")], info))
                         n += 1
@@ -224,7 +245,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: i
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    _write(rows.mapInArrow(run, "record binary"), warc_path, "\r\n\r\n")
+    _write(rows.mapInArrow(run, "record binary"), warc_path, "\r\n\r\n", per_file)
 
 
 def read_pages(spark: SparkSession, warc_path: str) -> DataFrame:
@@ -234,7 +255,7 @@ def read_pages(spark: SparkSession, warc_path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for headers, block in read_warc(gzip.decompress(content.as_buffer())):
+                for headers, block in read_warc(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))):
                     kind = headers["warc-type"]
                     if kind not in ("response", "revisit"):
                         continue
@@ -261,8 +282,9 @@ def round_trip(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     spark = pages.sparkSession
     bound_batches(spark)
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages, arc)
-    convert(spark, arc, warc, least_revisit)
+    per_file = records_per_file(pages)
+    write_arc(pages, arc, per_file)
+    convert(spark, arc, warc, least_revisit, per_file)
     remove(spark, arc)
     back = stage(read_pages(spark, warc), "records")
     target = back.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
