@@ -26,6 +26,7 @@ def suspicion_score(message: Column, matched: Column, changes: Column) -> Column
     return F.least(F.lit(100), F.least(matched * 15, F.lit(50)) + words + F.when(changes > 100, 15).when(changes > 50, 10).otherwise(0))
 
 
+# The sentences of reasons here and of recommendations in bug_risk.
 def suspicion_reason(message: Column, matched: Column, changes: Column) -> Column:
     low = F.lower(message)
     return F.concat_ws(

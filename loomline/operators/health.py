@@ -33,6 +33,7 @@ BANDS = {
     "contributorActivity": Band(5, 3, 2, 1, True, 0.8, "Active contributors in last 30 days: ", ""),
     "branchHealth": Band(10, 25, 50, 75, False, 0.7, "Stale branches: ", "%"),
 }
+# Priority, category, message and action for each metric that is poor or critical.
 ADVICE = {
     "commitFrequency": ("high", "Activity", "Very low commit frequency detected", "Consider breaking work into smaller, more frequent commits for better tracking and easier code reviews"),
     "averageCommitSize": ("medium", "Commit Quality", "Commits are too large on average", "Break down changes into smaller, atomic commits that are easier to review and revert if needed"),

@@ -52,6 +52,9 @@ def _table(columns: Sequence[str], rows: Iterable[Sequence]) -> list[str]:
     return ["| " + " | ".join(columns) + " |", "|" + "|".join("-" * (len(c) + 2) for c in columns) + "|", *("| " + " | ".join(map(str, r)) + " |" for r in rows)]
 
 
+# The headings, labels and sentences in the reports below, in the order in which they stand.
+
+
 def graph_report(stats: Row, files: int, entries: Sequence[str], leaves: Sequence[str], top: Sequence[str], cycle_count: int, form: str, drawing: str) -> str:
     """stats is a row of graph_stats; form is mermaid, dot or json."""
     facts = {
