@@ -95,7 +95,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: A passage is long from so many words on. It is found by runs of FEWER words, of which every PASSAGE words hold a chosen one.
 PASSAGE, FEWER = 51, 45
 #: Chosen runs in a slice, about.
-RUNS_PER_SLICE = 1_500_000
+RUNS_PER_SLICE = 500_000
 
 
 def chosen_runs(data: np.ndarray, offsets: np.ndarray, passage: int = PASSAGE, fewer: int = FEWER) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +310,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     texts = involved.select("_file", "_row", "text")
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     worded = rows.select("_file", "_row", "text").filter(F.octet_length("text") >= 2 * PASSAGE - 1).join(small(again, 32), ["_file", "_row"], "left_anti")
-    shared = stage(worded.mapInArrow(_send_runs(max(16, total // (RUNS_PER_SLICE * 24))), _RUNS).groupBy("slice").applyInArrow(_shared_runs, "_file bigint, _row bigint").distinct(), "shared")
+    shared = stage(worded.mapInArrow(_send_runs(max(4, total // (RUNS_PER_SLICE * 24))), _RUNS).groupBy("slice").applyInArrow(_shared_runs, "_file bigint, _row bigint").distinct(), "shared")
     shared = shared.withColumn("shared", F.lit(True))
     cut = stage(texts.join(runs, ["_file", "_row"]).mapInArrow(_cut, "_file bigint, _row bigint, removed bigint, spans bigint, left string"), "cut")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
