@@ -406,6 +406,59 @@ def test_toxicity_pairs_by_the_machines_own_terms():
     assert np.mean((toxicity.forward(doc, m.place[term], 600, m.w0, m.w, m.v)[0] > 0) == y) > 0.95
 
 
+def test_word_vectors_and_pooling_against_plain_loops(spark):
+    texts = ["the cat sat on THE mat !!", "a b", "", "the the the", "Grün 12,5 % x-y cat sat"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    place, sign = quality._index_vectors()
+    total = np.zeros((quality.UNITS, quality.DIM))
+    owned = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, word, shape = quality.units(raw, np.array([0, len(raw)]))
+        owned.append((word, shape))
+        for i in range(len(word)):
+            for j in range(max(0, i - quality.WINDOW), min(len(word), i + quality.WINDOW + 1)):
+                if i != j:
+                    for own, other in ((word[i], word[j]), (word[i], shape[j]), (shape[i], shape[j])):
+                        for k in range(quality.PLACES):
+                            total[own, place[other, k]] += sign[other, k]
+    wanted = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    vectors = quality.word_vectors(docs)
+    assert np.allclose(vectors, wanted, atol=1e-5)
+    raws = [t.encode() for t in texts]
+    x = quality.pooled(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]), vectors)
+    for row, (word, shape) in zip(x, owned, strict=True):
+        parts = [wanted[u].mean(0) if len(u) else np.zeros(quality.DIM) for u in (word, shape)]
+        assert np.allclose(row, np.concatenate((*parts, [np.linalg.norm(p) for p in parts])), atol=1e-4)
+
+
+def test_machine_scores_against_every_pair():
+    rng = np.random.default_rng(6)
+    texts = ["you are a clown and an idiot", "", "alpha beta", "clown clown CLOWN", "x" * 3]
+    raws = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    doc, term = toxicity.distinct(*toxicity.terms(data, offsets))
+    used = np.unique(term)[::2]
+    place = np.full(toxicity.TERMS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    machine = toxicity.Machine(place, 0.3, rng.normal(size=len(used)), rng.normal(size=(len(used), toxicity.FACTORS)))
+    for k, score in enumerate(machine.score(data, offsets)):
+        own = [place[t] for t in term[doc == k] if place[t] >= 0]
+        pairs = sum(float(machine.v[a] @ machine.v[b]) for i, a in enumerate(own) for b in own[i + 1 :])
+        logit = machine.w0 + sum(machine.w[a] for a in own) + pairs / max(len(own), 1)
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-6)
+
+
+def test_learned_terms_are_bounded(taught, monkeypatch):
+    docs, labels = taught
+    monkeypatch.setattr(toxicity, "HELD_TERMS", 2000)
+    seen = []
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda doc, term, y: seen.append((len(term), len(y))) or real(doc, term, y))
+    toxicity.fit(docs, labels)
+    assert 1000 < seen[0][0] <= 2000 and 0 < seen[0][1] < 300
+
+
 def test_temperature():
     rng = np.random.default_rng(1)
     z = rng.normal(0, 1, 4000)
