@@ -134,9 +134,8 @@ def _frontier(edges: DataFrame, start: DataFrame) -> DataFrame:
     seen, depth = [front], 0
     while True:
         depth += 1
-        new = front.join(edge, ["project", "node"]).select("project", F.col("dst").alias("node")).distinct()
-        for part in seen:
-            new = new.join(part.select("project", "node"), ["project", "node"], "left_anti")
+        known = _union([part.select("project", "node") for part in seen])
+        new = front.join(edge, ["project", "node"]).select("project", F.col("dst").alias("node")).distinct().join(known, ["project", "node"], "left_anti")
         front = rounds.keep(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return _union(seen)
