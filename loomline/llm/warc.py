@@ -29,6 +29,8 @@ from .common import bound_batches, new_path, remove, small, stage
 
 #: Records in a file at most, its first one included, and bytes in a file, about, before it is gzipped.
 FILE_RECORDS, FILE_BYTES = 4096, 32 << 20
+#: The archives' compression: a third of the default's time for an eighth more bytes.
+GZIP_LEVEL = "BEST_SPEED"
 
 #: The fields of a header line by version.
 ARC_FIELDS = {
@@ -157,7 +159,7 @@ def records_per_file(pages: DataFrame) -> int:
 
 
 def _write(rows: DataFrame, path: str, ending: str, per_file: int) -> None:
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", ending).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", ending).option("compression", "gzip").option("zlib.compress.level", GZIP_LEVEL).option("maxRecordsPerFile", per_file).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
