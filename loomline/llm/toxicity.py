@@ -21,7 +21,7 @@ from .labelled import SAMPLE_ROWS, held_out, sample
 #: Hashed terms; factors of each; learned rows that must hold a term; steps of the training at least.
 TERMS, FACTORS, LEAST_ROWS, LEAST_STEPS = 1 << 20, 6, 4, 600
 #: Distinct terms of all learned rows together, at most: what the driver holds. Rows are taken in the order of their ids' hashes until there are so many.
-HELD_TERMS = 20_000_000
+HELD_TERMS = 12_000_000
 #: Decay of the factors, over the number of learned rows; decay of a linear weight, in standard deviations of its gradient by chance.
 DECAY, CHANCE = 4.0, 0.7
 #: Bytes of the word beginnings that are terms of their own, so that inflected forms share one.
