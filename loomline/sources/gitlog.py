@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,20 +41,14 @@ def numstat_records(records: DataFrame, with_email: bool = True) -> tuple[DataFr
 def numstat_log(logs: DataFrame, with_email: bool = True) -> tuple[DataFrame, DataFrame]:
     """logs(repo, log) of `hash|author|email|date` lines, each followed by numstat rows, to commits and file_changes.
 
-    A commit's rows are those up to the next header: a running count of headers over one log numbers them.
+    A text is cut before each header, so that every commit keeps its own rows wherever it stands; nothing is shuffled.
     """
-    fields = 4 if with_email else 3
-    lines = logs.select("repo", F.posexplode(F.split("log", "\n")).alias("pos", "line"))
-    parts = F.split("line", r"\|")
-    head = F.col("line").rlike(r"^[0-9a-f]{40}\|") & (F.size(parts) >= fields)
-    run = F.sum(head.cast("int")).over(Window.partitionBy("repo").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tagged = lines.withColumns({"is_head": head, "commit": run}).filter("commit > 0")
-    heads = tagged.filter("is_head").select(
-        "repo", "commit", F.get(parts, F.lit(0)).alias("hash"), F.get(parts, F.lit(1)).alias("author"), (F.get(parts, F.lit(2)) if with_email else F.lit(None).cast("string")).alias("author_email"),
-        F.try_to_timestamp(F.get(parts, F.lit(fields - 1))).alias("ts"),
-    )
-    stats = numstat(tagged.filter("not is_head")).join(heads.select("repo", "commit", "hash"), ["repo", "commit"])
-    return heads.drop("commit"), stats.select("repo", "hash", "path", "insertions", "deletions", "binary")
+    return numstat_records(logs.select("repo", F.explode(F.split("log", rf"\n(?={_head(with_email)})")).alias("record")), with_email)
+
+
+def _head(with_email: bool) -> str:
+    """What a header line begins with."""
+    return r"[0-9a-f]{40}(?:\|[^|\n]*){" + str(3 if with_email else 2) + "}"
 
 
 def numstat(lines: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
 """Queries on made tables in which results depend on the size, against DuckDB."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomline import catalog
 from loomline.operators import graph
+from loomline.sources import gitlog
 
 
 def sides(spark, folder, name, *tables):
@@ -30,3 +34,31 @@ def test_steps_of_a_search(spark):
     found = lambda f, *steps: sorted((r["node"], r["depth"]) for r in f(chain, start, *steps).collect())
     assert found(graph.transitive_dependencies, 2) == [("3", 1), ("4", 2)] and found(graph.transitive_dependencies, 0) == []
     assert found(graph.transitive_dependencies) == [("3", 1), ("4", 2), ("5", 3)]
+
+
+def test_a_log_whose_commits_come_in_another_order_each_time(spark):
+    # as texts joined from shuffled rows do
+    records = [f"{k:040x}|a{k}|a@x|2024-01-02 03:04:05" + "".join(f"\n1\t2\tf{j}" for j in range(k)) for k in range(30)]
+
+    @F.udf("string")
+    def mixed(repo):
+        return "\n\n".join(random.sample(records, len(records)))
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    logs = spark.createDataFrame([("r",), ("s",)], "repo string").select("repo", mixed.asNondeterministic()("repo").alias("log"))
+    commits, changes = gitlog.numstat_log(logs)
+    assert {(r["repo"], r["hash"]) for r in commits.collect()} == {(x, f"{k:040x}") for x in "rs" for k in range(30)}
+    found = {(r["repo"], int(r["hash"], 16), r["count"]) for r in changes.groupBy("repo", "hash").count().collect()}
+    spark.conf.unset("spark.sql.exchange.reuse")
+    assert found == {(x, k, k) for x in "rs" for k in range(1, 30)}
+
+
+def test_lines_like_headers(spark):
+    head = lambda c, rest: c * 40 + rest
+    log = "\n".join(["1\t1\tbefore any", head("1", "|A|a@x|2024-01-02"), "1\t1\ta|b", head("2", "|B|b@x"), head("3", "|C|c@x|"), "2\t1\tc", "x" + head("4", "|D|d@x|2024-01-02"), "3\t1\td", head("5", "|E|e|f|g|h")])
+    logs = spark.createDataFrame([("r", "\n\n" + log), ("e", ""), ("n", None)], "repo string, log string")
+    commits, changes = gitlog.numstat_log(logs)
+    assert sorted(r["hash"][0] + r["author"] for r in commits.collect()) == ["1A", "3C", "5E"]
+    assert sorted((r["hash"][0], r["path"]) for r in changes.collect()) == [("1", "a|b"), ("3", "c"), ("3", "d")]
+    commits, changes = gitlog.numstat_log(logs, with_email=False)
+    assert sorted(r["hash"][0] for r in commits.collect()) == ["1", "2", "3", "5"] and changes.count() == 3
