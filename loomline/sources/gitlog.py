@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,23 @@ def numstat_records(records: DataFrame, with_email: bool = True) -> tuple[DataFr
 def numstat_log(logs: DataFrame, with_email: bool = True) -> tuple[DataFrame, DataFrame]:
     """logs(repo, log) of `hash|author|email|date` lines, each followed by numstat rows, to commits and file_changes.
 
-    A text is cut before each header, so that every commit keeps its own rows wherever it stands; nothing is shuffled.
+    A text is cut before each header, so that every commit keeps its own rows wherever it stands; nothing is shuffled. A
+    log that is too long for a row comes as logs(repo, part, log): parts in order, each of which ends at the end of any line.
+    Rows at the head of a part belong to the last commit of the parts before it; these rows alone are shuffled, and a hash of each part.
     """
-    return numstat_records(logs.select("repo", F.explode(F.split("log", rf"\n(?={_head(with_email)})")).alias("record")), with_email)
+    head = _head(with_email)
+    cut = F.split("log", rf"\n(?={head})")
+    commits, changes = numstat_records(logs.select("repo", F.explode(cut).alias("record")), with_email)
+    if "part" not in logs.columns:
+        return commits, changes
+    first, last = F.get(cut, F.lit(0)), F.element_at(cut, -1)
+    before = Window.partitionBy("r").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = logs.select(F.col("repo").alias("r"), F.col("part").alias("at"), F.when(last.rlike(f"^{head}"), F.substring(last, 1, 40)).alias("hash"))
+    ends = ends.withColumn("hash", F.last("hash", True).over(before)).filter("hash is not null")
+    rest = logs.select("repo", "part", first.alias("rest")).filter(~F.col("rest").rlike(f"^{head}"))
+    # null-safe, since a filter against nulls on one side would have the texts computed twice
+    more = numstat(rest.join(ends, F.col("repo").eqNullSafe(F.col("r")) & (F.col("part") == F.col("at"))).select("repo", "hash", F.explode(F.split("rest", "\n")).alias("line")))
+    return commits, changes.unionByName(more.select("repo", "hash", "path", "insertions", "deletions", "binary"))
 
 
 def _head(with_email: bool) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline import catalog
 from loomline.operators import graph
+from loomline.plans import fixtures
 from loomline.sources import gitlog
 
 
@@ -62,3 +63,27 @@ def test_lines_like_headers(spark):
     assert sorted((r["hash"][0], r["path"]) for r in changes.collect()) == [("1", "a|b"), ("3", "c"), ("3", "d")]
     commits, changes = gitlog.numstat_log(logs, with_email=False)
     assert sorted(r["hash"][0] for r in commits.collect()) == ["1", "2", "3", "5"] and changes.count() == 3
+
+
+def test_a_log_in_parts(spark):
+    lines = []
+    for k in range(12):
+        lines += [f"{k:040x}|a{k}|a@x|2024-01-02 03:04:05", *(f"1\t2\tf{j}" for j in range(k % 5)), ""]
+    wanted = {(f"{k:040x}", f"f{j}") for k in range(12) for j in range(k % 5)}
+    for size in (1, 2, 3, 7, 100):
+        parts = [(r, k // size, "\n".join(lines[k : k + size])) for r in ("r", None) for k in range(0, len(lines), size)] + [("t", 0, "1\t2\tof none"), ("t", 1, "1\t2\tof none")]
+        commits, changes = gitlog.numstat_log(spark.createDataFrame(parts, "repo string, part long, log string").repartition(5))
+        assert sorted((r["repo"] or "", r["hash"]) for r in commits.collect()) == [(r, f"{k:040x}") for r in ("", "r") for k in range(12)]
+        assert sorted((r["repo"] or "", r["hash"], r["path"]) for r in changes.collect()) == sorted((r, *w) for r in ("", "r") for w in wanted)
+
+
+def test_logs_beyond_the_first_commits(spark, tmp_path):
+    # keys beyond 900, a commit without files, one key twice, rows of no order
+    day = F.lit("2024-01-02").cast("timestamp")
+    keys = spark.range(0, 9001, 7).union(spark.createDataFrame([(8400,)], "id long"))
+    keys.select(F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = spark.range(12000).filter("id % 14 <> 0").select((F.col("id") % 9100).alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(1.0).alias("l_quantity"), (F.col("id") % 7).cast("int").alias("l_linenumber"), F.lit("N").alias("l_returnflag"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    ours, wanted = sides(spark, tmp_path, "log_as_one_text", "orders", "lineitem")
+    assert ours == wanted and len(ours) == 1286 and {r[2] for r in ours} >= {0, 1, 2}
+    assert fixtures.log_texts(spark, str(tmp_path)).count() == 3 * 3 * 2  # stretches, repositories, halves
