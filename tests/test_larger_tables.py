@@ -21,7 +21,7 @@ def sides(spark, folder, name, *tables):
     return sorted(map(tuple, catalog.queries()[name](spark, str(folder)).select(*found.columns).collect())), sorted(found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["transitive_dependencies"])
+@pytest.mark.parametrize("name", ["transitive_dependencies", "reverse_dependencies"])
 def test_ways_longer_than_the_sql_follows(spark, tmp_path, name):
     # 67 parts lie on one ring of 66 and a loop
     spark.range(67).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
@@ -34,6 +34,7 @@ def test_steps_of_a_search(spark):
     start = spark.createDataFrame([("p", "2")], "project string, node string")
     found = lambda f, *steps: sorted((r["node"], r["depth"]) for r in f(chain, start, *steps).collect())
     assert found(graph.transitive_dependencies, 2) == [("3", 1), ("4", 2)] and found(graph.transitive_dependencies, 0) == []
+    assert found(graph.reverse_dependencies, 1) == [("1", 1)] and found(graph.reverse_dependencies) == [("0", 2), ("1", 1)]
     assert found(graph.transitive_dependencies) == [("3", 1), ("4", 2), ("5", 3)]
 
 
